@@ -90,10 +90,10 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     near = lambda f, by, p: f.select(*[F.col(b).alias(f"{p}_{b}") for b in by], *[F.col(n).alias(f"{p}_{n}") for n in names])
     df = counts.join(near(fine, ["lang", "source"], "f"), F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
     df = df.join(near(mid, ["lang"], "m"), F.col("lang").eqNullSafe(F.col("m_lang")), "left")
-    df = df.crossJoin(F.broadcast(near(fences(sketch, []), [], "a")))  # one row
+    whole = fences(sketch, []).first() or dict.fromkeys(names)  # one row
     bad = F.lit(False)
     for name, sql, _, low in SIGNALS:
-        fence = lambda end, name=name: F.coalesce(*[F.col(f"{p}_{name}_{end}") for p in "fma"])
+        fence = lambda end, name=name: F.coalesce(*[F.col(f"{p}_{name}_{end}") for p in "fm"], F.lit(whole[f"{name}_{end}"]).cast("bigint"))
         bad = bad | (F.expr(sql) > fence("hi"))
         if low:
             bad = bad | (F.expr(sql) < fence("lo"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, secrets, sharding
+from . import decontaminate, extract, langid, packing, quality, quotes, secrets, sharding
 from .common import table
 
 
@@ -16,9 +16,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": lambda s, d: sharding.assign_slots(documents(s, d)),
+    "op2_decontamination": lambda s, d: decontaminate.leaks(documents(s, d), table(s, d, "benchmark")),
+    "op3_langid": lambda s, d: langid.identify(documents(s, d)),
     "op4_packing": lambda s, d: packing.digest(documents(s, d)),
+    "op6_quotes": lambda s, d: quotes.link(table(s, d, "conversations")),
     "op8_secrets": lambda s, d: secrets.digest(documents(s, d)),
+    "op9_extraction": lambda s, d: extract.main_text(table(s, d, "pages")),
     "op10_quality": lambda s, d: quality.judge(documents(s, d)),
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_sharding": sharding.oracle_sql(), "op10_quality": quality.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_sharding": sharding.oracle_sql(), "op6_quotes": quotes.ORACLE_SQL, "op10_quality": quality.oracle_sql()}
