@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Q, EDITS, LEAST = 10, 0.08, 30
-SEGMENT, STRIDE = 128, 64
+Q, EDITS, LEAST = 8, 0.1, 30
+SEGMENT, STRIDE = 96, 32
 #: Diagonals of half a band; more than the edits of the longest segment.
 BAND = 16
 #: Characters of one block of the benchmark, and of documents that are looked at together.
@@ -63,16 +63,16 @@ def normalised(joined: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(codes: np.ndarray) -> np.ndarray:
-    """A hash of the Q = 10 characters from each place."""
+    """A hash of the Q = 8 characters from each place."""
     n = len(codes) - Q + 1
     if n < 1:
         return np.zeros(0, np.uint64)
-    c, b = codes.astype(np.uint64), _BASE
-    two = c[:-1] * b + c[1:]
-    four = two[:-2] * (b * b) + two[2:]
-    eight = four[:-4] * (b * b * b * b) + four[4:]
-    ten = eight[:n] * (b * b) + two[8 : 8 + n]
-    return (ten ^ (ten >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    c, b, mask = codes.astype(np.uint64), int(_BASE), (1 << 64) - 1
+    b2, b4 = np.uint64(b**2 & mask), np.uint64(b**4 & mask)
+    two = c[:-1] * _BASE + c[1:]
+    four = two[:-2] * b2 + two[2:]
+    eight = four[:-4] * b4 + four[4:]
+    return (eight ^ (eight >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
 class Index:
