@@ -370,3 +370,15 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     return join(docs).drop("__node")
+
+
+ORACLE_SQL = rf"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT r, doc_id, g FROM (SELECT r, doc_id, array_to_string(w[i : i + {SHINGLE - 1}], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1)) AS i FROM w WHERE len(w) > 0))),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+met AS (SELECT a.r AS x, b.r AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+links AS (SELECT x, y FROM met JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE i * {UNDER} >= (a.n + b.n - i) * {OVER}),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT r AS x, r AS y FROM w UNION SELECT reach.x, b.y FROM reach JOIN both_ways b ON reach.y = b.x)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CASE WHEN n.n IS NULL THEN w.doc_id ELSE c.least END AS component_id
+FROM w LEFT JOIN n USING (r) JOIN (SELECT x, min(v.doc_id) AS least FROM reach JOIN w v ON v.r = reach.y GROUP BY x) c ON c.x = w.r"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, extract, langid, packing, quality, quotes, secrets, sharding, substrings
+from . import decontaminate, extract, langid, ngram_join, packing, quality, quotes, secrets, sharding, substrings
 from .common import table
 
 
@@ -21,9 +21,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": lambda s, d: packing.digest(documents(s, d)),
     "op5_substrings": lambda s, d: substrings.digest(documents(s, d)),
     "op6_quotes": lambda s, d: quotes.link(table(s, d, "conversations")),
+    "op7_ngram_join": lambda s, d: ngram_join.digest(documents(s, d)),
     "op8_secrets": lambda s, d: secrets.digest(documents(s, d)),
     "op9_extraction": lambda s, d: extract.main_text(table(s, d, "pages")),
     "op10_quality": lambda s, d: quality.judge(documents(s, d)),
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_sharding": sharding.oracle_sql(), "op5_substrings": substrings.ORACLE_SQL, "op6_quotes": quotes.ORACLE_SQL, "op10_quality": quality.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op7_ngram_join": ngram_join.ORACLE_SQL, "op1_sharding": sharding.oracle_sql(), "op5_substrings": substrings.ORACLE_SQL, "op6_quotes": quotes.ORACLE_SQL, "op10_quality": quality.oracle_sql()}
