@@ -198,15 +198,42 @@ def _pass(index) -> object:
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
-    """A row for each document row and item of which it holds a segment: SCHEMA; start and end are code points of the text."""
-    spark = docs.sparkSession
+def _clean(index, at: int):
+    """The rows of each batch without a leak."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            bad, own, size = set(), [], 0
+            for i, t in enumerate(texts):
+                if t:
+                    own.append(i)
+                    size += len(t)
+                if own and (size >= TOGETHER or i == len(texts) - 1):
+                    bad.update(r[0] for r in _find(index.value, own, [texts[x] for x in own]))
+                    own, size = [], 0
+            yield batch.filter(pa.array([i not in bad for i in range(len(texts))], pa.bool_())) if bad else batch
+
+    return run
+
+
+def _indexes(docs: DataFrame, benchmark: DataFrame, item: str, item_text: str, block: int) -> Iterator:
+    """The benchmark's blocks, each an index that every executor has."""
     items = benchmark.select(F.col(item).cast("bigint").alias("item"), F.col(item_text).alias("text")).filter(F.col("text").isNotNull()).distinct()
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-size // block) or 1
-    passes = []
     for b in range(n):
         own = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b).orderBy("item", "text").collect()  # about block characters
-        index = spark.sparkContext.broadcast(Index([(r["item"], r["text"]) for r in own]))
-        passes.append(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_pass(index), SCHEMA))
-    return reduce(DataFrame.union, passes)
+        yield docs.sparkSession.sparkContext.broadcast(Index([(r["item"], r["text"]) for r in own]))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
+    """A row for each document row and item of which it holds a segment: SCHEMA; start and end are code points of the text."""
+    own = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    return reduce(DataFrame.union, [own.mapInArrow(_pass(i), SCHEMA) for i in _indexes(docs, benchmark, item, item_text, block)])
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
+    """The rows of docs that hold no segment, with all their columns."""
+    at = docs.columns.index(text)
+    return reduce(lambda df, i: df.mapInArrow(_clean(i, at), docs.schema), _indexes(docs, benchmark, item, item_text, block), docs)

@@ -4,7 +4,8 @@ The pieces are those of a fixed public vocabulary (piece_bpe_32k.model), in lowe
 start. A language is a probability for each piece; a word's probability is the sum, over all ways to cut it into pieces, of
 the product of theirs, by the forward algorithm; a text's is the product over its words. Piece probabilities are learned by
 expectation maximisation with the forward and backward sums, on a sample of at most SAMPLE labelled documents of each
-language (those with the smallest hash of their key). Everything else reads every text whole.
+language (those with the smallest hash of their key; rows whose hash is far above where the sample must end are left out
+before they are ranked, so a language isn't ranked in one task). Everything else reads every text whole.
 
 Words are runs of letters in lower case; a run of more than MAX_WORD letters is scored in chunks of that many. The score is
 the posterior probability of the predicted language under equal priors.
@@ -170,8 +171,11 @@ class Model:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, vocabulary: str | None = None) -> Model:
     """From the labelled rows that aren't held out; no more than sample documents a language reach the count of words."""
     known = docs.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter(F.col("lang").isNotNull() & F.col("k").isNotNull() & ~held_out("k"))
-    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k"))
-    keys = known.select("k", "lang").withColumn("n", order).filter(F.col("n") <= sample).select("k", "lang").distinct()
+    known = known.withColumn("h", F.pmod(F.xxhash64("k"), F.lit(1 << 30)))
+    ends = {r["lang"]: min(1 << 30, (4 * sample << 30) // r["n"] + 1) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # as many as the model has columns
+    end = F.create_map(*[F.lit(x) for pair in ends.items() for x in pair])[F.col("lang")] if ends else F.lit(0)
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("h", "k"))
+    keys = known.filter(F.col("h") < end).select("k", "lang", "h").withColumn("n", order).filter(F.col("n") <= sample).select("k", "lang").distinct()
     chosen = known.join(F.broadcast(keys), ["k", "lang"])  # at most sample keys a language
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -215,3 +219,11 @@ def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row."""
     df = predict(docs.select("doc_id", "text"), fit(docs))
     return df.select("doc_id", held_out("doc_id").alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+
+def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of docs whose text has a language with a score of at least least; all rows if no language can be learned."""
+    model = fit(docs)
+    if not model.langs:
+        return docs
+    return predict(docs, model).filter((F.col("__lang") != "und") & (F.col("__score") >= least)).drop("__lang", "__score")

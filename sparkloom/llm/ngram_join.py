@@ -54,7 +54,8 @@ FLUSH, HEAVY, BUCKET, PARTITIONS = 1_500_000, 32, 2_000_000, 20_000
 MOST, VERIFY, LAST = 5, 40, (1 << 31) - 1
 #: Star rounds at most, and pairs left for each posting from which another round comes first.
 ROUNDS, DENSE = 4, 8
-COLUMNS = "doc_id bigint, node bigint, n bigint, u bigint, l int, prefix array<bigint>, shingles array<bigint>"
+NO_ID = (1 << 63) - 1
+COLUMNS = "doc_id bigint, tag bigint, node bigint, n bigint, u bigint, l int, prefix array<bigint>, shingles array<bigint>"
 
 
 class _Hashes(dict):
@@ -114,7 +115,7 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["kind", "bucket", "block"])
 
 
-#: Kinds of blocks. DOC: doc_id, null or not, node, n. PAIR: shingles, nodes, heavy shingles. NODE: node, shingle, order; and node, n.
+#: Kinds of blocks. DOC: doc_id, null or not, tag, node, n. PAIR: shingles, nodes, heavy shingles. NODE: node, shingle, order; and node, n.
 DOC, PAIR, NODE = 0, 1, 2
 
 
@@ -122,6 +123,7 @@ def _send(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, blocks = _Hashes(), Blocks()
         ids: list[int | None] = []
+        tags: list[int] = []
         nodes: list[int] = []
         sizes: list[int] = []
         sets: dict[int, np.ndarray] = {}
@@ -131,7 +133,7 @@ def _send(buckets: int):
             rows = []
             place = (len(ids) * 2654435761 + sum(nodes[:3])) % buckets
             known = np.array([0 if i is None else i for i in ids], np.int64).astype(np.uint64)
-            rows.append((DOC, place, blocks.dump((known, False), (np.array([i is not None for i in ids]), False), (np.array(nodes, np.int64).astype(np.uint64), False), (np.array(sizes, np.int64), False))))
+            rows.append((DOC, place, blocks.dump((known, False), (np.array([i is not None for i in ids]), False), (np.array(tags, np.int64).astype(np.uint64), False), (np.array(nodes, np.int64).astype(np.uint64), False), (np.array(sizes, np.int64), False))))
             if sets:
                 names = np.array(list(sets), np.int64).astype(np.uint64)
                 lengths = np.array([len(s) for s in sets.values()])
@@ -161,12 +163,12 @@ def _send(buckets: int):
                     x, y = np.searchsorted(by, [b, b + 1])
                     mine = home == b
                     rows.append((NODE, b, blocks.dump((o[x:y], True), (t[x:y], False), (np.full(y - x, LAST), False), (names[mine], False), (lengths[mine], False))))
-            for x in (ids, nodes, sizes, sets):
+            for x in (ids, tags, nodes, sizes, sets):
                 x.clear()
             return _batch(rows)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 raw = text.as_buffer().to_pybytes().lower().split() if text.is_valid else []
                 node = n = 0
                 if raw:
@@ -176,6 +178,7 @@ def _send(buckets: int):
                         sets[node] = s
                         words += len(raw)
                 ids.append(doc)
+                tags.append(tag)
                 nodes.append(node)
                 sizes.append(n)
                 if words >= FLUSH or len(ids) >= 200_000:
@@ -260,16 +263,16 @@ def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents, and the nodes that may have a partner, with their prefixes."""
     blocks = Blocks()
     names = [c.split()[0] for c in COLUMNS.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    kinds = [*[pa.int64()] * 5, pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     for _, held in _by_bucket(batches):
         for b in held.get(DOC, ()):
-            doc, known, node, n = (c.astype(np.int64) for c in blocks.load(b, False, False, False, False))
-            arrays = [pa.array(doc, mask=known == 0), pa.array(node), pa.array(n)]
-            yield pa.RecordBatch.from_arrays([*arrays, *(pa.nulls(len(doc), k) for k in kinds[3:])], names=names)
+            doc, known, tag, node, n = (c.astype(np.int64) for c in blocks.load(b, *[False] * 5))
+            arrays = [pa.array(doc, mask=known == 0), pa.array(tag), pa.array(node), pa.array(n)]
+            yield pa.RecordBatch.from_arrays([*arrays, *(pa.nulls(len(doc), k) for k in kinds[4:])], names=names)
         if NODE not in held:
             continue
         o, t, rank, name, size = (np.concatenate(c) for c in zip(*(blocks.load(b, True, False, False, False, False) for b in held[NODE]), strict=True))
@@ -290,13 +293,18 @@ def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             turn = np.lexsort((t[x:y], rank[x:y]))
             own = t[x:y][turn].astype(np.int64)
             m, length = choose(rank[x:y][turn], a)
-            rows.append((None, int(o[x].astype(np.int64)), n, n - (y - x), m, own[:length], own))
+            rows.append((None, None, int(o[x].astype(np.int64)), n, n - (y - x), m, own[:length], own))
             if len(rows) >= 2000:
                 yield out(rows)
                 rows = []
         yield out(rows)
 
 
+def tag_of(text: str):
+    """What tells rows of one number apart."""
+    return F.xxhash64(F.col(text))
+
+
 def prepare(docs: DataFrame, key: str, text: str) -> DataFrame:
     """COLUMNS: a row for each document (u is null), and for each node that may have a partner (doc_id and more than one column of it)."""
     raw = F.col(text).cast("binary")
@@ -305,7 +313,7 @@ def prepare(docs: DataFrame, key: str, text: str) -> DataFrame:
     parts = min(buckets, PARTITIONS)
     deal = lambda df: df.repartition(parts, "bucket").sortWithinPartitions("bucket")
     kinds = "kind int, bucket bigint, block binary"
-    sent = docs.select(F.col(key).cast("bigint").alias("doc_id"), raw.alias("raw")).mapInArrow(_send(buckets), kinds)
+    sent = docs.select(F.col(key).cast("bigint").alias("doc_id"), tag_of(text).alias("tag"), raw.alias("raw")).mapInArrow(_send(buckets), kinds)
     return written(deal(deal(sent).mapInArrow(_count(buckets), kinds)).mapInArrow(_choose, COLUMNS), "ngram-sets")
 
 
@@ -356,20 +364,33 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of each row, and __node, the name of its set."""
+    """doc_id, n_shingles and component_id of each row; also tag (of its text) and first: whether it is its component's first document."""
     table = prepare(docs, key, text)
-    rows, nodes = table.filter("u IS NULL").select("doc_id", "node", "n"), table.filter("u IS NOT NULL").drop("doc_id")
+    rows, nodes = table.filter("u IS NULL").select("doc_id", "tag", "node", "n"), table.filter("u IS NOT NULL").drop("doc_id", "tag")
     comp = links(nodes)
-    least = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    name = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.col("tag").alias("t"))  # rows without a number come last
+    least = rows.filter("n > 0").groupBy("node").agg(F.min(name).alias("least"))
     named = least.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    first = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    of = named.select("node", "comp").join(first, "comp").select(F.col("node").alias("of"), "component_id")
+    first = named.groupBy("comp").agg(F.min("least").alias("first"))
+    of = named.select("node", "comp").join(first, "comp").select(F.col("node").alias("of"), "first")
     out = rows.join(of, (F.col("node") == F.col("of")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("node").alias("__node"))
+    component = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.nullif(F.col("first.d"), F.lit(NO_ID)))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "tag", F.coalesce(F.col("first") == name, F.lit(True)).alias("first"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return join(docs).drop("__node")
+    return join(docs).drop("tag", "first")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that are their component's first document; of equal rows (by number and text), one. Rows without a word all stay."""
+    keep = written(join(docs, key, text).filter("first").select(F.col("doc_id").alias("__d"), F.col("tag").alias("__t"), (F.col("n_shingles") > 0).alias("__set")), "ngram-kept")
+    one = keep.distinct()
+    kept = docs.withColumn("__tag", tag_of(text)).join(one, F.col(key).cast("bigint").eqNullSafe(F.col("__d")) & (F.col("__tag") == F.col("__t")), "left_semi")
+    if keep.filter("__set").groupBy("__d", "__t").agg(F.count("*").alias("k")).filter("k > 1").limit(1).count():
+        bare = F.trim(F.translate(F.coalesce(F.col(text), F.lit("")), " \t\n\x0b\x0c\r", "")) == ""
+        kept = kept.filter(~bare).dropDuplicates([key, "__tag"]).union(kept.filter(bare))
+    return kept.drop("__tag")
 
 
 ORACLE_SQL = rf"""

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, written
 
 #: kind: pattern, the group whose length counts, its least length. The first three are the base rules.
 RULES = {
@@ -69,7 +69,8 @@ def scan(docs: DataFrame, text: str = "text", ledger: str | None = None) -> Data
     once = blobs.groupBy("__blob").agg(F.first("__text").alias("__text"))
     once.mapInPandas(_scan, LEDGER).write.mode("append").parquet(ledger)
     found = spark.read.schema(LEDGER).parquet(ledger).filter((F.col("rule_version") == RULE_VERSION) & (F.size("findings") > 0))
-    found = found.groupBy(F.col("blob").alias("__blob")).agg(F.first("findings").alias("__findings"))  # a repeated append adds nothing
+    # A repeated append adds nothing. Written, the few blobs with findings are a table whose size Spark knows.
+    found = written(found.groupBy(F.col("blob").alias("__blob")).agg(F.first("findings").alias("__findings")), "findings")
     empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
     return docs.withColumn("__blob", blob).join(found, "__blob", "left").withColumn("__findings", F.coalesce("__findings", empty)).drop("__blob")
 
@@ -83,8 +84,8 @@ def digest(docs: DataFrame, key: str = "doc_id", text: str = "text", ledger: str
     return df.select(key, *[count(k) for k in BASE], F.sha2(words(base).cast("binary"), 256).alias("base_sha256"), words(F.col("__findings")).alias("spans"))
 
 
-def redact(docs: DataFrame, text: str = "text", ledger: str | None = None, mask: str = "[SECRET]") -> DataFrame:
-    """docs with each found span of the text replaced by the mask; overlapping spans are one. Null texts stay null."""
+def redact(docs: DataFrame, text: str = "text", ledger: str | None = None, mask: str = "[SECRET]", changed: str | None = None) -> DataFrame:
+    """docs with each found span of the text replaced by the mask; overlapping spans are one. Null texts stay null. changed: a column that says whether there were any."""
     df = scan(docs, text, ledger)
     t = F.col(text)
     merged = F.aggregate(
@@ -92,4 +93,6 @@ def redact(docs: DataFrame, text: str = "text", ledger: str | None = None, mask:
         lambda a, s: F.when(s["end"] <= a["at"], a).otherwise(F.struct(F.concat(a["out"], F.when(s["start"] >= a["at"], F.concat(t.substr((a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mask))).otherwise(F.lit(""))).alias("out"), s["end"].alias("at"))),
         lambda a: F.concat(a["out"], t.substr((a["at"] + 1).cast("int"), F.length(t))),
     )
-    return df.withColumn(text, F.when(F.size("__findings") == 0, t).otherwise(merged)).drop("__findings")
+    any_found = F.size("__findings") > 0
+    df = df.withColumns({text: F.when(any_found, merged).otherwise(t), **({changed: any_found} if changed else {})})
+    return df.drop("__findings")
