@@ -16,8 +16,9 @@ least min(l, l') prefix shingles.
 Groups of copies. All pairs of a group are never made. Star rounds come first: each prefix shingle has a centre, each node
 is verified against one centre of its shingles, and what links is one component. Then only candidates from different
 components are left, for a link within a component adds nothing; their number is known before they are made, and while it
-is large, further rounds with other centres come first. The last step verifies every candidate pair that is left, so no
-link between components is lost, and there is no cap.
+is large, further rounds with other centres come first. The last step examines every candidate that is left, so no link
+between components is lost, and there is no cap: pairs that share a shingle of more than FREQUENT nodes are found by counting
+in blocks of bounded size, which make no rows of pairs; all others by a join on their rare shingles.
 
 Data flow. Mapper tasks send (shingle, node) pairs as compressed blocks to buckets of shingles, where the number of nodes of
 each is counted; what is repeated goes on to buckets of nodes, where prefixes are chosen. A shingle that FLUSH words of a
@@ -36,6 +37,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -53,7 +55,9 @@ FLUSH, HEAVY, BUCKET, PARTITIONS = 1_500_000, 32, 2_000_000, 20_000
 #: The most matches asked for; a verification's cost in postings; the order of heavy shingles.
 MOST, VERIFY, LAST = 5, 40, (1 << 31) - 1
 #: Star rounds at most, and pairs left for each posting from which another round comes first.
-ROUNDS, DENSE = 4, 8
+ROUNDS, DENSE = 3, 4
+#: Nodes from which a shingle is frequent in the last step, and shingles of a block there.
+FREQUENT, WEIGHT = 24, 1_000_000
 NO_ID = (1 << 63) - 1
 COLUMNS = "doc_id bigint, tag bigint, node bigint, n bigint, u bigint, l int, prefix array<bigint>, shingles array<bigint>"
 
@@ -324,38 +328,92 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return two.withColumn("i", F.size(F.array_intersect("sa", "sb"))).filter(F.col("i") * UNDER >= (F.col("na") + F.col("nb") - F.col("i")) * OVER).select("a", "b")
 
 
+def _compare(df: pd.DataFrame) -> pd.DataFrame:
+    """Links between nodes of different components in two blocks of a cluster (or one); for each node, one link to each component.
+
+    Postings of the second block's prefixes count shared prefix shingles; nodes with candidates then get exact intersections
+    from the postings of whole sets. Both are arrays of numbers: no pair is a row.
+    """
+    i, j = int(df["i"].iloc[0]), int(df["j"].iloc[0])
+    one, two = df[df["block"] == i].reset_index(drop=True), df[df["block"] == j].reset_index(drop=True)
+    out: list[tuple[int, int]] = []
+
+    def postings(column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lengths = two[column].map(len).to_numpy()
+        tok, of = np.concatenate(two[column].tolist()), np.repeat(np.arange(len(two)), lengths)
+        order = np.argsort(tok, kind="stable")
+        keys, first = np.unique(tok[order], return_index=True)
+        return keys, np.append(first, len(tok)), of[order]
+
+    def shared(x: np.ndarray, keys: np.ndarray, first: np.ndarray, of: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+        at = at[keys[at] == x]
+        parts = [of[a:b] for a, b in zip(first[at].tolist(), first[at + 1].tolist(), strict=True)]
+        return np.bincount(np.concatenate(parts), minlength=len(two)) if parts else np.zeros(len(two), np.int64)
+
+    if len(one) and len(two):
+        by_prefix, by_all = postings("prefix"), postings("shingles")
+        names, comps, sizes, ls = (two[c].to_numpy() for c in ("node", "comp", "n", "l"))
+        for node, comp, n, own_l, prefix, shingles in zip(*(one[c].tolist() for c in ("node", "comp", "n", "l", "prefix", "shingles")), strict=True):
+            near = (comps != comp) & (np.minimum(sizes, n) * UNDER >= np.maximum(sizes, n) * OVER)
+            near &= shared(np.asarray(prefix), *by_prefix) >= np.minimum(ls, own_l)
+            if near.any():
+                both = shared(np.asarray(shingles), *by_all)
+                hit = np.flatnonzero(near & (both * UNDER >= (sizes + n - both) * OVER))
+                _, first = np.unique(comps[hit], return_index=True)
+                out += [(node, int(names[h])) for h in hit[first]]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _dense(here: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components among nodes that share a frequent prefix shingle.
+
+    Such nodes form clusters (components over those shingles). A cluster is dealt into blocks of about WEIGHT shingles, and
+    each pair of blocks is one group: bounded, however large the cluster is.
+    """
+    spots = written(here.select(F.col("s"), "node", "comp", "n", "l").distinct(), "ngram-dense")
+    # a shingle stands for the least of its nodes, so that edges are of nodes
+    least = spots.groupBy("s").agg(F.min("node").alias("b"))
+    of = written(components(spots.join(least, "s").select(F.col("node").alias("a"), "b")), "ngram-clusters")
+    members = sets.join(spots.select("node", "comp").distinct(), "node").join(of.withColumnRenamed("comp", "cluster"), "node")
+    weight = members.groupBy("cluster").agg(F.ceil(F.sum(F.size("shingles")) / WEIGHT).cast("int").alias("blocks"), F.count_distinct("comp").alias("comps")).filter("comps > 1").drop("comps")
+    dealt = members.join(weight, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    pairs = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "comp", "n", "l", "prefix", "shingles")
+    return pairs.groupBy("cluster", "i", "j").applyInPandas(_compare, "a bigint, b bigint")
+
+
 def links(nodes: DataFrame) -> DataFrame:
     """node, comp of the nodes that link with another. nodes: node, n, u, l, prefix, shingles."""
     posts = nodes.select(F.explode("prefix").alias("s"), "node", "n", "u", "l")
     shared = posts.groupBy("s").agg(F.count("*").alias("k")).filter("k > 1").select("s")
-    posts = written(posts.join(shared, "s"), "ngram-postings")
-    sets = nodes.join(posts.select("node").distinct(), "node", "left_semi").select("node", "n", "shingles")
-    sets = written(sets, "ngram-shared")
+    posts = written(posts.join(shared, "s").withColumn("comp", F.col("node")), "ngram-postings")
+    sets = written(nodes.join(posts.select("node").distinct(), "node", "left_semi").select("node", "n", "l", "prefix", "shingles"), "ngram-shared")
     edges = comp = None
     for r in range(ROUNDS + 1):
-        here = posts if comp is None else posts.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        if comp is None:
-            here = here.withColumn("comp", F.col("node"))
-        counts = here.groupBy("s", "comp").agg(F.count("*").alias("k")).groupBy("s").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count("*").alias("comps"), F.max("k").alias("most"))
-        mixed = counts.filter("comps > 1")
-        left, many = mixed.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")).cast("double") / 2), F.sum("k")).first()
-        if not left:
+        if comp is not None:
+            posts = posts.drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        # a shingle of one component can't link any more: what is left gets smaller with every round
+        counts = posts.groupBy("s", "comp").agg(F.count("*").alias("k")).groupBy("s").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count("*").alias("comps")).filter("comps > 1")
+        posts = written(posts.join(counts.select("s", F.col("k").alias("shown"), "kk"), "s"), "ngram-left")
+        left, many = posts.agg(F.sum((F.col("shown") - F.col("kk") / F.col("shown")) / 2), F.count("*")).first()
+        posts, here = posts.drop("shown", "kk"), posts
+        if not many:
             break
-        here = written(here.join(mixed.select("s"), "s"), "ngram-left")
         if r < ROUNDS and left > DENSE * many:
             # a star round: each shingle's centre, and each node's commonest centre in another component
             rank = F.struct(F.floor(F.col("u") * 50 / F.col("n")), "node") if r == 0 else F.struct(F.xxhash64("node", F.lit(r)), "node")
-            centre = here.groupBy("s").agg(F.min(F.struct(rank.alias("rank"), "comp", "n")).alias("c"))
+            centre = posts.groupBy("s").agg(F.min(F.struct(rank.alias("rank"), "comp", "n")).alias("c"))
             centre = centre.select("s", F.col("c.rank.node").alias("b"), F.col("c.comp").alias("b_comp"), F.col("c.n").alias("b_n"))
-            near = here.join(centre, "s").filter((F.col("comp") != F.col("b_comp")) & (F.least("n", "b_n") * UNDER >= F.greatest("n", "b_n") * OVER))
+            near = posts.join(centre, "s").filter((F.col("comp") != F.col("b_comp")) & (F.least("n", "b_n") * UNDER >= F.greatest("n", "b_n") * OVER))
             pairs = near.groupBy("node", "b").agg(F.count("*").alias("k")).groupBy("node").agg(F.max(F.struct("k", "b")).alias("x")).select(F.col("node").alias("a"), F.col("x.b").alias("b"))
-            last = False
+            found, last = written(verified(pairs, sets), "ngram-links"), False
         else:
-            x, y = here.alias("x"), here.alias("y")
+            # the rest: pairs that share a frequent shingle are found in blocks, all others have their matches among rare ones
+            rare = here.filter(F.col("shown") <= FREQUENT)
+            x, y = rare.alias("x"), rare.alias("y")
             met = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.comp") < F.col("y.comp")) & (F.least("x.n", "y.n") * UNDER >= F.greatest("x.n", "y.n") * OVER))
             pairs = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("k"), F.first(F.least("x.l", "y.l")).alias("need")).filter("k >= need").select("a", "b")
-            last = True
-        found = written(verified(pairs, sets), "ngram-links")
+            found, last = written(verified(pairs, sets).union(_dense(here.filter(F.col("shown") > FREQUENT), sets)), "ngram-links"), True
         edges = found if edges is None else edges.union(found)
         comp = components(edges)
         if last:
