@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 13
 #: Bytes of a bucket's packed strings, words that a task packs together, and the most partitions of buckets.
-BUCKET, FLUSH, PARTITIONS = 24_000_000, 1_500_000, 20_000
+BUCKET, FLUSH, PARTITIONS = 8_000_000, 700_000, 20_000
 NULL_ID = (1 << 63) - 1
 
 
@@ -48,7 +48,7 @@ class _Hashes(dict):
         h ^= h >> 15
         h = (h * 0x85EBCA77) & 0xFFFFFFFF
         h ^= h >> 13
-        if len(self) < 1_000_000:
+        if len(self) < 300_000:
             self[word] = h
         return h
 
@@ -143,10 +143,9 @@ def _send(k: int, buckets: int):
 def repeats(texts: list[bytes], docs: np.ndarray, tags: np.ndarray, places: np.ndarray, k: int) -> list[tuple[int, int, int, int]]:
     """(doc, tag, start, end) of the words of windows that also start in a smaller document, among packed strings."""
     numbers = _Numbers()
-    split = [t.split(b" ") for t in texts]
-    lengths = np.fromiter(map(len, split), np.int64, len(split))
-    ids = np.fromiter((numbers[w] for ws in split for w in ws), np.int64, int(lengths.sum()))
-    del split
+    lengths = np.fromiter((t.count(b" ") + 1 for t in texts), np.int64, len(texts))
+    ids = np.concatenate([np.fromiter(map(numbers.__getitem__, b" ".join(texts[i : i + 500]).split(b" ")), np.int64, int(lengths[i : i + 500].sum())) for i in range(0, len(texts), 500)])
+    del numbers
     n = lengths - k + 1
     first = np.append(0, np.cumsum(lengths)[:-1])
     string = np.repeat(np.arange(len(texts)), n)
@@ -187,7 +186,7 @@ def _count(k: int):
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["doc_id", "tag", "start", "end"])
 
         def work(blocks: list[bytes], size: int) -> Iterator[pa.RecordBatch]:
-            parts = max(1, -(-size // (BUCKET // 4)))
+            parts = max(1, -(-size // BUCKET))
             for part in range(parts):
                 texts, heads = [], []
                 for block in blocks:
@@ -214,7 +213,7 @@ def _count(k: int):
                     yield from work(held, size)
                     held, size, at = [], 0, bucket
                 held.append(block)
-                size += len(block)
+                size += zstandard.get_frame_parameters(block).content_size
         yield from work(held, size)
 
     return run
