@@ -65,7 +65,7 @@ COLUMNS = "doc_id bigint, tag bigint, node bigint, n bigint, u bigint, l int, pr
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)
-        if len(self) < 1_000_000:
+        if len(self) < 500_000:
             self[word] = h
         return h
 
