@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Relational operators that Spark SQL lacks, as compositions of DataFrame operations."""

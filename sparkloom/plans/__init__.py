@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""From dialect text to a Spark plan: parser, syntax tree and compiler."""
