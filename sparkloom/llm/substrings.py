@@ -10,7 +10,7 @@ Nothing unbounded meets in one task:
 * a task that has seen a packed string in a smaller document marks the larger one's words at once and sends nothing, so a
   bucket gets a string once for each FLUSH words of a task at most, not once for each copy;
 * the number of buckets follows the corpus (BUCKET bytes of words each), and a bucket that is larger is split by further
-  bits of its minimisers' hashes and worked off part by part.
+  bits of its minimisers' hashes and worked off part by part, up to 256 parts.
 
 Packed strings of one bucket travel as one compressed block for each FLUSH words of a task, not as rows. Marks come back as
 rows (doc_id, tag, start, end), tag being a hash of the text, are gathered for each document, and meet its text again in a
@@ -72,11 +72,31 @@ def minimisers(hashes: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
+#: Bytes of a packed string's document (less the one before), tag, place and spare bits of its minimiser.
+WIDTHS = (8, 4, 4, 1)
+
+
+def heads_out(head: np.ndarray) -> bytes:
+    """The columns of packed strings, byte by byte, so that they compress."""
+    cols = np.diff(head[:, 0], prepend=0), head[:, 1], head[:, 2], head[:, 3]
+    return b"".join(np.ascontiguousarray(c.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :w].T).tobytes() for c, w in zip(cols, WIDTHS, strict=True))
+
+
+def heads_in(raw: bytes, n: int) -> tuple[np.ndarray, int]:
+    at, cols = 8, []
+    for w in WIDTHS:
+        c = np.zeros((n, 8), np.uint8)
+        c[:, :w] = np.frombuffer(raw, np.uint8, n * w, at).reshape(w, n).T
+        cols.append(c.view("<i8").reshape(n))
+        at += n * w
+    return np.stack([np.cumsum(cols[0]), *cols[1:]], axis=1), at
+
+
 def _send(k: int, buckets: int):
     """Map side: (bucket, block) rows. A block holds packed strings with their places, and marks that are known already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, pack = _Hashes(), zstandard.ZstdCompressor(level=1)
+        hashes, pack = _Hashes(), zstandard.ZstdCompressor(level=3)
         words: list[bytes] = []
         bounds: list[tuple[int, int, int]] = []  # (doc_id, first word, tag)
         rows_seen: set[tuple[int, int]] = set()  # a repeated row has the marks of the first
@@ -111,12 +131,11 @@ def _send(k: int, buckets: int):
                     else:
                         marks.append([doc, tag, a - base, b + k - 1 - base])
                 else:
-                    sent.setdefault(m % buckets, []).append((text, doc, tag, a - base, m))
+                    sent.setdefault(m % buckets, []).append((text, doc, tag, a - base, m // buckets % 256))
             rows_b, rows_d = [], []
             for bucket, own in sent.items():
-                places = np.array([x[1:] for x in own], "<i8").tobytes()
                 rows_b.append(bucket)
-                rows_d.append(pack.compress(len(own).to_bytes(8, "little") + places + b"\n".join(x[0] for x in own)))
+                rows_d.append(pack.compress(len(own).to_bytes(8, "little") + heads_out(np.array([x[1:] for x in own], np.int64)) + b"\n".join(x[0] for x in own)))
             for at in range(0, len(marks), 100_000):
                 rows_b.append(-1 - (zlib.crc32(rows_d[0]) + at) % buckets if rows_d else -1)
                 rows_d.append(pack.compress(np.array(marks[at : at + 100_000], "<i8").tobytes()))
@@ -192,10 +211,10 @@ def _count(k: int):
                 for block in blocks:
                     raw = unpack.decompress(block)
                     n = int.from_bytes(raw[:8], "little")
-                    head = np.frombuffer(raw, "<i8", 4 * n, 8).reshape(n, 4)
-                    own = raw[8 + 32 * n :].split(b"\n")
+                    head, at = heads_in(raw, n)
+                    own = raw[at:].split(b"\n")
                     if parts > 1:
-                        mine = np.flatnonzero((head[:, 3] // 7919) % parts == part)
+                        mine = np.flatnonzero(head[:, 3] % parts == part)
                         head, own = head[mine], [own[i] for i in mine.tolist()]
                     texts += own
                     heads.append(head)
@@ -247,7 +266,7 @@ def _apply(k: int):
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the words left, UTF-8, joined by one space) of each row."""
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    df = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(raw).alias("tag"), raw.alias("raw"))
+    df = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.pmod(F.xxhash64(raw), F.lit(1 << 32)).alias("tag"), raw.alias("raw"))
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     buckets = max(1, math.ceil(size * 3 / BUCKET))
     marks = df.mapInArrow(_send(k, buckets), "bucket bigint, block binary").repartition(min(buckets, PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(_count(k), "doc_id bigint, tag bigint, start bigint, end bigint")
