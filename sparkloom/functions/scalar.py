@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable
 from typing import NamedTuple
 
-from ..plans.tree import DialectError
+from ..plans.tree import DialectError, Interval
 from .intervals import interval_sql, parse_interval
 
 
@@ -90,8 +90,10 @@ def stride(a: Arg) -> str:
     """Microseconds of a stride: a text, or an interval."""
     if isinstance(a.literal, str):
         return str(parse_interval(a.literal))
+    if isinstance(a.literal, Interval):
+        return str(a.literal.micros)
     if a.type == "duration":
-        return f"CAST(ROUND(EXTRACT(DAY FROM {a.sql}) * 86400000000 + EXTRACT(HOUR FROM {a.sql}) * 3600000000 + EXTRACT(MINUTE FROM {a.sql}) * 60000000 + EXTRACT(SECOND FROM {a.sql}) * 1000000) AS BIGINT)"
+        return f"UNIX_MICROS(TIMESTAMP '1970-01-01 00:00:00Z' + {a.sql})"
     raise DialectError("an interval must be INTERVAL '...' or a text")
 
 

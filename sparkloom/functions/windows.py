@@ -11,6 +11,12 @@ NAMES = {*RANKS, "ntile", "lag", "lead", "first_value", "last_value", "nth_value
 RUNNING = " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 
+def _whole(a: Arg) -> int:
+    if not isinstance(a.literal, int) or isinstance(a.literal, bool):
+        raise DialectError("a window function's count must be an integer")
+    return a.literal
+
+
 def call(name: str, args: list[Arg], distinct: bool, keys: str, ordered: bool, frame: str) -> Result:
     """keys: PARTITION BY and ORDER BY; frame: with a leading space, or empty."""
     plain, framed = f"OVER ({keys})", f"OVER ({keys}{frame})"
@@ -25,7 +31,7 @@ def call(name: str, args: list[Arg], distinct: bool, keys: str, ordered: bool, f
         kind = RANKS[name]
         return (f"CAST({name.upper()}() {plain} AS BIGINT)" if kind == "int" else f"{name.upper()}() {plain}"), kind
     if name == "ntile":
-        return f"CAST(NTILE({args[0].sql}) {plain} AS BIGINT)", "int"
+        return f"CAST(NTILE({_whole(args[0])}) {plain} AS BIGINT)", "int"
     if name in ("lag", "lead"):
         n = int(args[1].literal) if len(args) > 1 and args[1].literal is not None else 1
         if n < 0:
@@ -38,7 +44,7 @@ def call(name: str, args: list[Arg], distinct: bool, keys: str, ordered: bool, f
     if name in ("first_value", "last_value"):
         return f"{name.upper()}({args[0].sql}) {framed}", args[0].type
     if name == "nth_value":
-        return f"NTH_VALUE({args[0].sql}, {args[1].sql}) {framed}", args[0].type
+        return f"NTH_VALUE({args[0].sql}, {_whole(args[1])}) {framed}", args[0].type
     run = plain[:-1] + RUNNING + ")"
     if name == "locf":
         return f"LAST({args[0].sql}, TRUE) {run}", args[0].type
