@@ -1,6 +1,6 @@
 """N-gram Jaccard join by adaptive multi-match prefixes.
 
-A document's set is its distinct SHINGLE-word shingles (as hashes of 64 bits). Two documents link if their sets' Jaccard
+A document's set is its distinct SHINGLE-word shingles (as hashes of BITS bits). Two documents link if their sets' Jaccard
 similarity is at least 75 %; the result is each document's component. Documents of equal sets are one node, named by a hash
 of the set; nodes are what is joined.
 
@@ -13,12 +13,11 @@ Adaptive prefixes. Each node chooses its l, and with it the length of its prefix
 prefix, and of their candidates, which must match l times, the verifications. Two nodes are candidates if they share at
 least min(l, l') prefix shingles.
 
-Groups of copies. All pairs of a group are never made. Star rounds come first: each prefix shingle has a centre, each node
-is verified against one centre of its shingles, and what links is one component. Then only candidates from different
-components are left, for a link within a component adds nothing; their number is known before they are made, and while it
-is large, further rounds with other centres come first. The last step examines every candidate that is left, so no link
-between components is lost, and there is no cap: pairs that share a shingle of more than FREQUENT nodes are found by counting
-in blocks of bounded size, which make no rows of pairs; all others by a join on their rare shingles.
+Groups of copies. All pairs of a group are never made. A star comes first: each prefix shingle has a centre, each node is
+verified against the commonest centre of its shingles, and what links is one component. Then only candidates from different
+components are left, for a link within a component adds nothing. All of them are examined, so no link between components is
+lost, and there is no cap: pairs that share a shingle of more than FREQUENT nodes are found by counting in blocks of bounded
+size, which make no rows of pairs; all others by a join on their rare shingles.
 
 Data flow. Mapper tasks send (shingle, node) pairs as compressed blocks to buckets of shingles, where the number of nodes of
 each is counted; what is repeated goes on to buckets of nodes, where prefixes are chosen. A shingle that FLUSH words of a
@@ -48,14 +47,14 @@ from .common import written
 from .graph import components
 
 SHINGLE = 5
+#: Of a shingle's hash: of a billion documents, one may count a shingle too few.
+BITS = 56
 #: The similarity, as a fraction.
 OVER, UNDER = 75, 100
 #: Words that a task works on together; nodes there from which a shingle counts as heavy; shingles of a bucket.
 FLUSH, HEAVY, BUCKET, PARTITIONS = 1_500_000, 32, 2_000_000, 20_000
 #: The most matches asked for; a verification's cost in postings; the order of heavy shingles.
 MOST, VERIFY, LAST = 5, 40, (1 << 31) - 1
-#: Star rounds at most, and pairs left for each posting from which another round comes first.
-ROUNDS, DENSE = 3, 4
 #: Nodes from which a shingle is frequent in the last step, and shingles of a block there.
 FREQUENT, WEIGHT = 24, 1_000_000
 NO_ID = (1 << 63) - 1
@@ -82,7 +81,12 @@ def shingle_hashes(h: np.ndarray) -> np.ndarray:
     x = np.full(max(n - SHINGLE + 1, 1), k, np.uint64)
     for j in range(k):
         x = _mix(x + np.uint64(0x9E3779B97F4A7C15) + h[j : j + len(x)])
-    return x
+    return x >> np.uint64(64 - BITS)
+
+
+def place_of(tok: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each shingle: ranges of hashes, which leave small differences."""
+    return ((tok >> np.uint64(BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def planes(a: np.ndarray) -> bytes:
@@ -148,9 +152,9 @@ def _send(buckets: int):
                 count = np.diff(np.append(first, len(tok)))
                 heavy = count >= HEAVY
                 shown = np.repeat(heavy, count)
-                at = (tok % np.uint64(buckets)).astype(np.int64)
+                at = place_of(tok, buckets)
                 rest, top = ~shown, tok[first[heavy]]
-                by, top_by = at[rest], (top % np.uint64(buckets)).astype(np.int64)
+                by, top_by = at[rest], place_of(top, buckets)
                 t, o = tok[rest], own[rest]
                 turn = np.argsort(by, kind="stable")
                 t, o, by = t[turn], o[turn], by[turn]
@@ -382,43 +386,33 @@ def _dense(here: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.groupBy("cluster", "i", "j").applyInPandas(_compare, "a bigint, b bigint")
 
 
+def _star(posts: DataFrame) -> DataFrame:
+    """For each node, the commonest centre of its prefix's shingles; a shingle's centre is its node with the fewest shingles of its own."""
+    rank = F.struct(F.floor(F.col("u") * 50 / F.col("n")).alias("own"), "node", "n")
+    centre = posts.groupBy("s").agg(F.min(rank).alias("c")).select("s", F.col("c.node").alias("b"), F.col("c.n").alias("b_n"))
+    near = posts.join(centre, "s").filter((F.col("node") != F.col("b")) & (F.least("n", "b_n") * UNDER >= F.greatest("n", "b_n") * OVER))
+    return near.groupBy("node", "b").agg(F.count("*").alias("k")).groupBy("node").agg(F.max(F.struct("k", "b")).alias("x")).select(F.col("node").alias("a"), F.col("x.b").alias("b"))
+
+
 def links(nodes: DataFrame) -> DataFrame:
     """node, comp of the nodes that link with another. nodes: node, n, u, l, prefix, shingles."""
     posts = nodes.select(F.explode("prefix").alias("s"), "node", "n", "u", "l")
     shared = posts.groupBy("s").agg(F.count("*").alias("k")).filter("k > 1").select("s")
-    posts = written(posts.join(shared, "s").withColumn("comp", F.col("node")), "ngram-postings")
+    posts = written(posts.join(shared, "s"), "ngram-postings")
     sets = written(nodes.join(posts.select("node").distinct(), "node", "left_semi").select("node", "n", "l", "prefix", "shingles"), "ngram-shared")
-    edges = comp = None
-    for r in range(ROUNDS + 1):
-        if comp is not None:
-            posts = posts.drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        # a shingle of one component can't link any more: what is left gets smaller with every round
-        counts = posts.groupBy("s", "comp").agg(F.count("*").alias("k")).groupBy("s").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count("*").alias("comps")).filter("comps > 1")
-        posts = written(posts.join(counts.select("s", F.col("k").alias("shown"), "kk"), "s"), "ngram-left")
-        left, many = posts.agg(F.sum((F.col("shown") - F.col("kk") / F.col("shown")) / 2), F.count("*")).first()
-        posts, here = posts.drop("shown", "kk"), posts
-        if not many:
-            break
-        if r < ROUNDS and left > DENSE * many:
-            # a star round: each shingle's centre, and each node's commonest centre in another component
-            rank = F.struct(F.floor(F.col("u") * 50 / F.col("n")), "node") if r == 0 else F.struct(F.xxhash64("node", F.lit(r)), "node")
-            centre = posts.groupBy("s").agg(F.min(F.struct(rank.alias("rank"), "comp", "n")).alias("c"))
-            centre = centre.select("s", F.col("c.rank.node").alias("b"), F.col("c.comp").alias("b_comp"), F.col("c.n").alias("b_n"))
-            near = posts.join(centre, "s").filter((F.col("comp") != F.col("b_comp")) & (F.least("n", "b_n") * UNDER >= F.greatest("n", "b_n") * OVER))
-            pairs = near.groupBy("node", "b").agg(F.count("*").alias("k")).groupBy("node").agg(F.max(F.struct("k", "b")).alias("x")).select(F.col("node").alias("a"), F.col("x.b").alias("b"))
-            found, last = written(verified(pairs, sets), "ngram-links"), False
-        else:
-            # the rest: pairs that share a frequent shingle are found in blocks, all others have their matches among rare ones
-            rare = here.filter(F.col("shown") <= FREQUENT)
-            x, y = rare.alias("x"), rare.alias("y")
-            met = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.comp") < F.col("y.comp")) & (F.least("x.n", "y.n") * UNDER >= F.greatest("x.n", "y.n") * OVER))
-            pairs = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("k"), F.first(F.least("x.l", "y.l")).alias("need")).filter("k >= need").select("a", "b")
-            found, last = written(verified(pairs, sets).union(_dense(here.filter(F.col("shown") > FREQUENT), sets)), "ngram-links"), True
-        edges = found if edges is None else edges.union(found)
-        comp = components(edges)
-        if last:
-            break
-    return comp if comp is not None else nodes.select("node", F.col("node").alias("comp")).limit(0)
+    stars = written(verified(_star(posts), sets), "ngram-stars")
+    comp = components(stars)
+    # a shingle of one component can't link any more
+    here = posts.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    counts = here.groupBy("s").agg(F.count("*").alias("shown"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("s", "shown")
+    here = written(here.join(counts, "s"), "ngram-left")
+    # pairs that share a frequent shingle are found in blocks; all others have their matches among rare ones
+    rare = here.filter(F.col("shown") <= FREQUENT)
+    x, y = rare.alias("x"), rare.alias("y")
+    met = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.comp") < F.col("y.comp")) & (F.least("x.n", "y.n") * UNDER >= F.greatest("x.n", "y.n") * OVER))
+    pairs = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("k"), F.first(F.least("x.l", "y.l")).alias("need")).filter("k >= need").select("a", "b")
+    rest = written(verified(pairs, sets).union(_dense(here.filter(F.col("shown") > FREQUENT), sets)), "ngram-links")
+    return components(stars.union(rest))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
