@@ -11,7 +11,7 @@ from .server import Service
 CAP = 200
 
 
-def _tool(name: str, text: str, **args: str) -> dict:
+def _tool(name: str, text: str, /, **args: str) -> dict:
     needed = [k for k, v in args.items() if not v.endswith("?")]
     return {"name": name, "description": text, "inputSchema": {"type": "object", "properties": {k: {"type": v.rstrip("?")} for k, v in args.items()}, "required": needed}}
 

@@ -201,9 +201,9 @@ def _(a):
 
 
 def java_regex(a: Arg) -> str:
-    """The pattern's text for Java; named groups are written (?<name>...) there."""
+    """The pattern's text for Java; named groups are written (?<name>...) there, without underscores."""
     if isinstance(a.literal, str):
-        return quoted(a.literal.replace("(?P<", "(?<"))
+        return quoted(re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m[1].replace('_', '')}>", a.literal))
     return f"REPLACE({string(a)}, '(?P<', '(?<')"
 
 

@@ -25,7 +25,7 @@ from .plans.tree import DialectError
 
 
 def session(master: str = "local[*]", **conf: str) -> SparkSession:
-    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.ui.enabled": "false"} | conf
+    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.python.filterPushdown.enabled": "true", "spark.ui.enabled": "false"} | conf
     return SparkSession.builder.master(master).config(map=settings).getOrCreate()
 
 

@@ -168,6 +168,11 @@ def expanded(spark: SparkSession, name: str, spec: Spec, base: str) -> dict[str,
     return {name: spec}
 
 
+def pushes(spark: SparkSession) -> str:
+    """Whether the session lets Python sources see filters; a reader that asks where it doesn't is an error."""
+    return spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+
+
 def sqlite_path(spec: Spec, base: str) -> str:
     return located(re.sub(r"^(sqlite|file):(//)?", "", spec.path), base)
 
@@ -202,4 +207,4 @@ def sql(spark: SparkSession, spec: Spec, base: str) -> DataFrame:
             raise DialectError(f"name a table of {spec.path}: {', '.join(tables)}")
         table = tables[0]
     spark.dataSource.register(SqliteSource)
-    return spark.read.format("sparkloom_sqlite").options(path=path, **({"query": spec.options["query"]} if "query" in spec.options else {"table": table})).load()
+    return spark.read.format("sparkloom_sqlite").options(path=path, push=pushes(spark), **({"query": spec.options["query"]} if "query" in spec.options else {"table": table})).load()

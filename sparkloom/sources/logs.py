@@ -77,7 +77,7 @@ def by_pattern(df: DataFrame, pattern: str, sample: list[str], access: bool = Fa
         raise DialectError(f"bad pattern: {e}") from None
     if not rx.groupindex:
         raise DialectError("a pattern needs named groups")
-    java, line = pattern.replace("(?P<", "(?<"), F.col("value")
+    java, line = re.sub(r"\(\?P<\w+>", "(", pattern), F.col("value")
     fits = line.rlike(java)
     found = [m for m in map(rx.match, sample) if m]
     # Spark's regexp_extract counts groups, so every one is found by its number

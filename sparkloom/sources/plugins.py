@@ -32,12 +32,6 @@ def register(name: str, columns, rows: Callable, partitions: Callable | None = N
         def __init__(self, options):
             self.options, self.filters = options, []
 
-        def pushFilters(self, filters):
-            for f in filters:
-                if (e := encoded(f)) is not None:
-                    self.filters.append(e)
-                yield f
-
         def partitions(self):
             return [InputPartition(p) for p in (partitions(self.options) if partitions else [None])]
 
@@ -45,6 +39,13 @@ def register(name: str, columns, rows: Callable, partitions: Callable | None = N
             for r in rows(self.options, partition.value, self.filters):
                 yield tuple(r)
 
+    class PushingReader(Reader):
+        def pushFilters(self, filters):
+            for f in filters:
+                if (e := encoded(f)) is not None:
+                    self.filters.append(e)
+                yield f
+
     class Source(DataSource):
         @classmethod
         def name(cls):
@@ -55,10 +56,12 @@ def register(name: str, columns, rows: Callable, partitions: Callable | None = N
             return ", ".join(f"`{n}` {t}" for n, t in cols)
 
         def reader(self, schema):
-            return Reader(dict(self.options))
+            return (PushingReader if self.options.get("push_") == "true" else Reader)(dict(self.options))
 
     def open_(spark, spec: Spec, base: str):
+        from .files import pushes
+
         spark.dataSource.register(Source)
-        return spark.read.format(f"sparkloom_plugin_{name}").options(path_=spec.path, **{k: str(v) for k, v in spec.options.items()}).load()
+        return spark.read.format(f"sparkloom_plugin_{name}").options(path_=spec.path, push_=pushes(spark), **{k: str(v) for k, v in spec.options.items()}).load()
 
     OPENERS[name.lower()] = open_

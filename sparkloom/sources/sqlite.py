@@ -34,7 +34,8 @@ class SqliteSource(DataSource):
         return ", ".join(f"`{n}` {next((k for word, k in KINDS if word in t), 'string')}" for n, t in cols)
 
     def reader(self, schema):
-        return SqliteReader(self.options["path"], self._from(), schema, "table" in self.options)
+        kind = PushingReader if self.options.get("push") == "true" else SqliteReader
+        return kind(self.options["path"], self._from(), schema, "table" in self.options)
 
 
 class SqliteReader(DataSourceReader):
@@ -42,27 +43,6 @@ class SqliteReader(DataSourceReader):
         self.path, self.source, self.schema, self.table = path, source, schema, table
         self.where, self.values = [], []
 
-    def pushFilters(self, filters):
-        ops = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
-        kinds = {f.name: f.dataType.typeName() for f in self.schema}
-        for f in filters:
-            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            plain = name and kinds.get(name) in ("long", "double", "string")
-            if plain and type(f) in ops and isinstance(f.value, (int, float, str)):
-                self.where.append(f"{_quote(name)} {ops[type(f)]} ?")
-                self.values.append(f.value)
-            elif plain and isinstance(f, In) and all(isinstance(v, (int, float, str)) for v in f.value):
-                self.where.append(f"{_quote(name)} IN ({', '.join('?' * len(f.value))})")
-                self.values += f.value
-            elif name and isinstance(f, IsNull):
-                self.where.append(f"{_quote(name)} IS NULL")
-            elif name and isinstance(f, IsNotNull):
-                self.where.append(f"{_quote(name)} IS NOT NULL")
-            elif plain and isinstance(f, StringStartsWith):
-                self.where.append(f"substr({_quote(name)}, 1, ?) = ?")
-                self.values += [len(f.value), f.value]
-            yield f  # and again by Spark
-
     def partitions(self):
         """Ranges of row numbers where the table has them."""
         if not self.table:
@@ -89,6 +69,31 @@ class SqliteReader(DataSourceReader):
                 yield tuple(_value(v, k) for v, k in zip(row, kinds, strict=True))
 
 
+class PushingReader(SqliteReader):
+    """The same where the session lets Python sources see filters."""
+
+    def pushFilters(self, filters):
+        ops = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+        kinds = {f.name: f.dataType.typeName() for f in self.schema}
+        for f in filters:
+            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            plain = name and kinds.get(name) in ("long", "double", "string")
+            if plain and type(f) in ops and isinstance(f.value, (int, float, str)):
+                self.where.append(f"{_quote(name)} {ops[type(f)]} ?")
+                self.values.append(f.value)
+            elif plain and isinstance(f, In) and all(isinstance(v, (int, float, str)) for v in f.value):
+                self.where.append(f"{_quote(name)} IN ({', '.join('?' * len(f.value))})")
+                self.values += f.value
+            elif name and isinstance(f, IsNull):
+                self.where.append(f"{_quote(name)} IS NULL")
+            elif name and isinstance(f, IsNotNull):
+                self.where.append(f"{_quote(name)} IS NOT NULL")
+            elif plain and isinstance(f, StringStartsWith):
+                self.where.append(f"substr({_quote(name)}, 1, ?) = ?")
+                self.values += [len(f.value), f.value]
+            yield f  # and again by Spark
+
+
 def _value(v, kind):
     if v is None:
         return None

@@ -104,7 +104,7 @@ def assign(lines: DataFrame, templates: list[Template], column: str = "value") -
     """lines with the text of the first template each matches, by Spark's expressions; NULL if none."""
     out = F.lit(None).cast("string")
     for t in reversed(templates):
-        out = F.when(F.col(column).rlike(t.pattern().replace("(?P<", "(?<").replace("_", "")), t.text()).otherwise(out)
+        out = F.when(F.col(column).rlike(re.sub(r"\(\?P<\w+>", "(", t.pattern())), t.text()).otherwise(out)
     return lines.withColumn("template", out)
 
 
