@@ -34,9 +34,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 WINDOW = 13
 #: Bytes of a bucket's packed strings, words that a task packs together, and the most partitions of buckets.
-BUCKET, FLUSH, PARTITIONS = 8_000_000, 700_000, 20_000
+BUCKET, FLUSH, PARTITIONS = 6_000_000, 400_000, 20_000
 NULL_ID = (1 << 63) - 1
 
 
@@ -48,7 +50,7 @@ class _Hashes(dict):
         h ^= h >> 15
         h = (h * 0x85EBCA77) & 0xFFFFFFFF
         h ^= h >> 13
-        if len(self) < 300_000:
+        if len(self) < 200_000:
             self[word] = h
         return h
 
@@ -142,6 +144,7 @@ def _send(k: int, buckets: int):
             words.clear()
             bounds.clear()
             rows_seen.clear()
+            release()
             return pa.RecordBatch.from_arrays([pa.array(rows_b, pa.int64()), pa.array(rows_d, pa.binary())], names=["bucket", "block"])
 
         for batch in batches:
@@ -159,6 +162,13 @@ def _send(k: int, buckets: int):
     return run
 
 
+def _window_hash(ids: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    h = np.zeros(len(at), np.uint64)
+    for j in range(k):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + ids[at + j].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j)
+    return h
+
+
 def repeats(texts: list[bytes], docs: np.ndarray, tags: np.ndarray, places: np.ndarray, k: int) -> list[tuple[int, int, int, int]]:
     """(doc, tag, start, end) of the words of windows that also start in a smaller document, among packed strings."""
     numbers = _Numbers()
@@ -170,10 +180,7 @@ def repeats(texts: list[bytes], docs: np.ndarray, tags: np.ndarray, places: np.n
     string = np.repeat(np.arange(len(texts)), n)
     within = np.arange(int(n.sum())) - np.repeat(np.append(0, np.cumsum(n)[:-1]), n)
     at = first[string] + within
-    h = np.zeros(len(at), np.uint64)
-    for j in range(k):
-        x = ids[at + j].astype(np.uint64)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + x * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j)
+    h = _window_hash(ids, at, k)
     order = np.lexsort((docs[string], h))
     same = np.append(False, h[order][1:] == h[order][:-1])
     pairs = np.flatnonzero(same)
@@ -221,6 +228,8 @@ def _count(k: int):
                 if texts:
                     docs, tags, places, _ = np.concatenate(heads).T
                     yield out(repeats(texts, docs, tags, places, k))
+                    del texts, heads, docs, tags, places
+                    release()
 
         held, size, at = [], 0, None
         for batch in batches:
@@ -280,8 +289,8 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 ORACLE_SQL = rf"""
-WITH w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-win AS (SELECT r, doc_id, i, w[i : i + {WINDOW - 1}] AS g FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM w)),
-gone AS (SELECT DISTINCT r, unnest(range(i, i + {WINDOW})) AS p FROM (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY g) AS least FROM win) WHERE least < doc_id),
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, {NULL_ID}) AS d, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT r, d, i, w[i : i + {WINDOW - 1}] AS g FROM (SELECT r, d, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM w)),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + {WINDOW})) AS p FROM (SELECT r, i, d, min(d) OVER (PARTITION BY g) AS least FROM win) WHERE least < d),
 left_words AS (SELECT r, count(g.p) AS n_removed, string_agg(x, ' ' ORDER BY p) FILTER (g.p IS NULL) AS kept FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM w) LEFT JOIN gone g USING (r, p) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN left_words USING (r)"""
