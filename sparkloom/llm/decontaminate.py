@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 Q, EDITS, LEAST = 8, 0.1, 30
 SEGMENT, STRIDE = 96, 32
 #: Diagonals of half a band; more than the edits of the longest segment.
 BAND = 16
 #: Characters of one block of the benchmark, and of documents that are looked at together.
-BLOCK, TOGETHER = 16_000_000, 2_000_000
+BLOCK, TOGETHER = 16_000_000, 1_000_000
 SCHEMA = "doc_id bigint, item_id bigint, start bigint, end bigint, n_segments bigint, n_matched bigint, edits bigint"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BITS = np.uint64(64 - 22)
@@ -100,6 +102,15 @@ class Index:
         flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         seg = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]) if hashes else np.zeros(0, np.int64)
         off = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
+        if len(flat):
+            # a segment's commonest q-grams are left out, up to half of the hits it needs, and it needs as many fewer
+            _, back, n = np.unique(flat, return_inverse=True, return_counts=True)
+            by = np.lexsort((off, -n[back], seg))
+            rank = np.empty(len(flat), np.int64)
+            rank[by] = np.arange(len(flat)) - np.searchsorted(seg, seg[by])
+            out = (rank < self.need[seg] // 2) & (n[back] > SEGMENT // STRIDE)
+            self.need = self.need - np.bincount(seg[out], minlength=len(self.need))
+            flat, seg, off = flat[~out], seg[~out], off[~out]
         order = np.argsort(flat, kind="stable")
         self.seg, self.off = seg[order], off[order]
         self.keys, self.first = np.unique(flat[order], return_index=True)
@@ -194,6 +205,7 @@ def _pass(index) -> object:
                     ids, texts, size = [], [], 0
             if texts:
                 yield out(ids, texts)
+            release()
 
     return run
 
@@ -212,6 +224,7 @@ def _clean(index, at: int):
                 if own and (size >= TOGETHER or i == len(texts) - 1):
                     bad.update(r[0] for r in _find(index.value, own, [texts[x] for x in own]))
                     own, size = [], 0
+            release()
             yield batch.filter(pa.array([i not in bad for i in range(len(texts))], pa.bool_())) if bad else batch
 
     return run
