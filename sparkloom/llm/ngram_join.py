@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 from .graph import components
 
 SHINGLE = 5
@@ -52,7 +52,7 @@ BITS = 56
 #: The similarity, as a fraction.
 OVER, UNDER = 75, 100
 #: Words that a task works on together; nodes there from which a shingle counts as heavy; shingles of a bucket.
-FLUSH, HEAVY, BUCKET, PARTITIONS = 1_500_000, 32, 2_000_000, 20_000
+FLUSH, HEAVY, BUCKET, PARTITIONS = 1_200_000, 32, 2_000_000, 20_000
 #: The most matches asked for; a verification's cost in postings; the order of heavy shingles.
 MOST, VERIFY, LAST = 5, 40, (1 << 31) - 1
 #: Nodes from which a shingle is frequent in the last step, and shingles of a block there.
@@ -64,7 +64,7 @@ COLUMNS = "doc_id bigint, tag bigint, node bigint, n bigint, u bigint, l int, pr
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)
-        if len(self) < 500_000:
+        if len(self) < 300_000:
             self[word] = h
         return h
 
@@ -173,6 +173,7 @@ def _send(buckets: int):
                     rows.append((NODE, b, blocks.dump((o[x:y], True), (t[x:y], False), (np.full(y - x, LAST), False), (names[mine], False), (lengths[mine], False))))
             for x in (ids, tags, nodes, sizes, sets):
                 x.clear()
+            release()
             return _batch(rows)
 
         for batch in batches:
@@ -253,6 +254,7 @@ def _count(buckets: int):
             by = (o % np.uint64(buckets)).astype(np.int64)
             turn = np.lexsort((o, by))
             t, o, rank, by = t[turn], o[turn], rank[turn], by[turn]
+            release()
             edges = np.flatnonzero(np.append(True, by[1:] != by[:-1])) if len(by) else np.zeros(0, np.int64)
             none = np.zeros(0, np.uint64)
             yield _batch([(NODE, int(by[x]), blocks.dump((o[x:y], True), (t[x:y], False), (rank[x:y], False), (none, False), (none, False))) for x, y in zip(edges, np.append(edges[1:], len(by)), strict=True)])
