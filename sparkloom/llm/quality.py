@@ -22,8 +22,8 @@ MIN_GROUP, FENCE = 50, 3
 #: Signals in thousandths: name, SQL of the value, least distance of the quartiles, whether low values fail too.
 SIGNALS = (
     ("symbols", "n_symbols * 1000 DIV greatest(word_chars, 1)", 20, False),
-    ("repeats", "n_repeat_words * 1000 DIV greatest(n_words, 1)", 50, False),
-    ("dup_lines", "n_dup_lines * 1000 DIV greatest(n_lines, 1)", 50, False),
+    ("repeats", "n_repeat_words * 1000 DIV greatest(n_words, 1)", 100, False),
+    ("dup_lines", "n_dup_lines * 1000 DIV greatest(n_lines, 10)", 100, False),
     ("word_chars", "word_chars * 1000 DIV greatest(n_words, 1)", 500, True),
 )
 
