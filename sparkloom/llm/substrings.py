@@ -2,17 +2,16 @@
 
 A window is WINDOW consecutive words of a document. Its minimiser is the word of least hash in it. Consecutive windows with the
 same minimiser travel together as one packed string of their words to the minimiser's bucket, so equal windows always meet,
-and a window's words are sent little more than twice. In a bucket, words are numbered exactly (by a dictionary, not a hash),
-windows are sorted by a hash of their numbers, and neighbours of equal hash are compared number by number; each run of equal
-windows then knows its smallest document. Every window that also starts in a document with a smaller doc_id marks its words.
+and a window's words are sent little more than twice. In a bucket, windows are sorted by a hash of their bytes,
+and neighbours of equal hash are compared byte by byte; each run of equal windows then knows its smallest document. Every window that also starts in a document with a smaller doc_id marks its words.
 
 Nothing unbounded meets in one task:
 * a task that has seen a packed string in a smaller document marks the larger one's words at once and sends nothing, so a
-  bucket gets a string once for each FLUSH words of a task at most, not once for each copy;
+  bucket gets a string once for each FLUSH bytes of a task at most, not once for each copy;
 * the number of buckets follows the corpus (BUCKET bytes of words each), and a bucket that is larger is split by further
   bits of its minimisers' hashes and worked off part by part, up to 256 parts.
 
-Packed strings of one bucket travel as one compressed block for each FLUSH words of a task, not as rows. Marks come back as
+Packed strings of one bucket travel as one compressed block for each FLUSH bytes of a task, not as rows. Marks come back as
 rows (doc_id, tag, start, end), tag being a hash of the text, are gathered for each document, and meet its text again in a
 join by both.
 
@@ -37,30 +36,51 @@ from pyspark.sql import functions as F
 from .common import release
 
 WINDOW = 13
-#: Bytes of a bucket's packed strings, words that a task packs together, and the most partitions of buckets.
-BUCKET, FLUSH, PARTITIONS = 6_000_000, 400_000, 20_000
+#: Bytes of a bucket's packed strings, of those that are opened together, of texts that a task packs together, and the most partitions of buckets.
+BUCKET, OPEN, FLUSH, PARTITIONS = 8_000_000, 4_000_000, 2_500_000, 20_000
 NULL_ID = (1 << 63) - 1
 
 
-class _Hashes(dict):
-    """A word's hash, as an unsigned number of 32 bits."""
+_powers: list[np.ndarray] = []
+_ODD = 0x9E3779B97F4A7C15
 
-    def __missing__(self, word: bytes) -> int:
-        h = (zlib.crc32(word) * 0x9E3779B1 + len(word)) & 0xFFFFFFFF
-        h ^= h >> 15
-        h = (h * 0x85EBCA77) & 0xFFFFFFFF
-        h ^= h >> 13
-        if len(self) < 200_000:
-            self[word] = h
-        return h
 
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2**64, and of its inverse."""
+    if not _powers or len(_powers[0]) < n + 1:
+        _powers[:] = [np.cumprod(np.append(np.uint64(1), np.full(n, x, np.uint64)), dtype=np.uint64) for x in (_ODD, pow(_ODD, -1, 1 << 64))]
+    return _powers[0], _powers[1]
 
-class _Numbers(dict):
-    """A number for each word, exactly."""
 
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
+def range_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each range of bytes, from sums over all before it."""
+    up, down = _power(len(codes))
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=sums[1:])
+    return _mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+_SPACES = np.zeros(256, bool)
+_SPACES[[9, 10, 11, 12, 13, 32]] = True
+
+
+def spaced(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The text with every run of white space as one space; where its words begin and end there; where they began in raw."""
+    codes = np.frombuffer(raw, np.uint8)
+    space = _SPACES[codes]
+    keep = ~space
+    keep[1:] |= ~space[:-1]
+    at = np.flatnonzero(keep)
+    text = np.where(space[at], np.uint8(32), codes[at])
+    edge = np.diff(np.concatenate([[True], text == 32, [True]]).astype(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    return text, start, end, at[start]
 
 
 def minimisers(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -98,18 +118,20 @@ def _send(k: int, buckets: int):
     """Map side: (bucket, block) rows. A block holds packed strings with their places, and marks that are known already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, pack = _Hashes(), zstandard.ZstdCompressor(level=3)
-        words: list[bytes] = []
-        bounds: list[tuple[int, int, int]] = []  # (doc_id, first word, tag)
+        pack = zstandard.ZstdCompressor(level=3)
+        raws: list[bytes] = []
+        owners: list[tuple[int, int]] = []  # doc_id, tag
         rows_seen: set[tuple[int, int]] = set()  # a repeated row has the marks of the first
+        size = 0
 
         def flush() -> pa.RecordBatch:
-            h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+            codes, start, end, begun = spaced(b"\n".join(raws))
+            text = codes.tobytes()
+            offsets = np.cumsum([0, *(len(r) + 1 for r in raws[:-1])])
+            doc_of = np.searchsorted(offsets, begun, "right") - 1
+            base = np.searchsorted(doc_of, np.arange(len(raws)))  # each document's first word
+            h = range_hashes(codes, start, end) >> np.uint64(32)
             least = minimisers(h, k) if len(h) >= k else np.zeros(0, np.uint64)
-            doc_of = np.zeros(len(words), np.int64)
-            starts = np.array([b[1] for b in bounds], np.int64)
-            doc_of[starts[1:]] = 1
-            doc_of = np.cumsum(doc_of)
             inside = doc_of[: len(least)] == doc_of[k - 1 :]
             change = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (doc_of[1 : len(least)] != doc_of[: len(least) - 1]))) if len(least) else np.zeros(0, np.int64)
             ends = np.append(change[1:], len(least)) if len(change) else change
@@ -118,22 +140,22 @@ def _send(k: int, buckets: int):
             last = change + (valid[ends] - valid[change]) if len(change) else change
             keep = last > change
             change, last = change[keep], last[keep]
-            mins = (least[change] >> np.uint64(32)).astype(np.int64)
             of = doc_of[change]
-            ids, first, tags = np.array([b[0] for b in bounds], np.int64)[of], starts[of], np.array([b[2] for b in bounds], np.int64)[of]
+            ids, tags = np.array([o[0] for o in owners], np.int64)[of], np.array([o[1] for o in owners], np.int64)[of]
             order = np.argsort(ids, kind="stable")  # the smallest document first
+            columns = (start[change], end[last + k - 2], change - base[of], last + k - 1 - base[of], ids, tags, (least[change] >> np.uint64(32)).astype(np.int64))
             seen: dict[bytes, int] = {}
             sent: dict[int, list] = {}
             marks: list[list[int]] = []
-            for a, b, doc, base, m, tag in zip(change[order].tolist(), last[order].tolist(), ids[order].tolist(), first[order].tolist(), mins[order].tolist(), tags[order].tolist(), strict=True):
-                text = b" ".join(words[a : b + k - 1])
-                if seen.setdefault(text, doc) < doc:
-                    if marks and marks[-1][:2] == [doc, tag] and marks[-1][2] <= a - base <= marks[-1][3]:
-                        marks[-1][3] = b + k - 1 - base
+            for x, y, a, b, doc, tag, m in zip(*(c[order].tolist() for c in columns), strict=True):
+                string = text[x:y]
+                if seen.setdefault(string, doc) < doc:
+                    if marks and marks[-1][:2] == [doc, tag] and marks[-1][2] <= a <= marks[-1][3]:
+                        marks[-1][3] = b
                     else:
-                        marks.append([doc, tag, a - base, b + k - 1 - base])
+                        marks.append([doc, tag, a, b])
                 else:
-                    sent.setdefault(m % buckets, []).append((text, doc, tag, a - base, m // buckets % 256))
+                    sent.setdefault(m % buckets, []).append((string, doc, tag, a, m // buckets % 256))
             rows_b, rows_d = [], []
             for bucket, own in sent.items():
                 rows_b.append(bucket)
@@ -141,56 +163,53 @@ def _send(k: int, buckets: int):
             for at in range(0, len(marks), 100_000):
                 rows_b.append(-1 - (zlib.crc32(rows_d[0]) + at) % buckets if rows_d else -1)
                 rows_d.append(pack.compress(np.array(marks[at : at + 100_000], "<i8").tobytes()))
-            words.clear()
-            bounds.clear()
-            rows_seen.clear()
+            for x in (raws, owners, rows_seen):
+                x.clear()
             release()
             return pa.RecordBatch.from_arrays([pa.array(rows_b, pa.int64()), pa.array(rows_d, pa.binary())], names=["bucket", "block"])
 
         for batch in batches:
-            for doc, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                own = text.as_buffer().to_pybytes().split()
-                if len(own) >= k and (doc, tag) not in rows_seen:
+            for doc, tag, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                raw = value.as_buffer().to_pybytes()
+                if raw and (doc, tag) not in rows_seen:
                     rows_seen.add((doc, tag))
-                    bounds.append((NULL_ID if doc is None else doc, len(words), tag))
-                    words += own
-                    if len(words) >= FLUSH:
+                    owners.append((NULL_ID if doc is None else doc, tag))
+                    raws.append(raw)
+                    size += len(raw)
+                    if size >= FLUSH:
                         yield flush()
-        if words:
+                        size = 0
+        if raws:
             yield flush()
 
     return run
 
 
-def _window_hash(ids: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-    h = np.zeros(len(at), np.uint64)
-    for j in range(k):
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + ids[at + j].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j)
-    return h
-
-
 def repeats(texts: list[bytes], docs: np.ndarray, tags: np.ndarray, places: np.ndarray, k: int) -> list[tuple[int, int, int, int]]:
     """(doc, tag, start, end) of the words of windows that also start in a smaller document, among packed strings."""
-    numbers = _Numbers()
-    lengths = np.fromiter((t.count(b" ") + 1 for t in texts), np.int64, len(texts))
-    ids = np.concatenate([np.fromiter(map(numbers.__getitem__, b" ".join(texts[i : i + 500]).split(b" ")), np.int64, int(lengths[i : i + 500].sum())) for i in range(0, len(texts), 500)])
-    del numbers
+    joined = b"\n".join(texts)
+    codes = np.frombuffer(joined, np.uint8)
+    border = (codes == 32) | (codes == 10)
+    start = np.append(0, np.flatnonzero(border) + 1)
+    end = np.append(start[1:] - 1, len(codes))
+    lengths = np.bincount(np.append(0, np.cumsum(codes[border] == 10)), minlength=len(texts))
     n = lengths - k + 1
     first = np.append(0, np.cumsum(lengths)[:-1])
     string = np.repeat(np.arange(len(texts)), n)
     within = np.arange(int(n.sum())) - np.repeat(np.append(0, np.cumsum(n)[:-1]), n)
     at = first[string] + within
-    h = _window_hash(ids, at, k)
+    x, y = start[at], end[at + k - 1]  # a window's words stand side by side
+    h = range_hashes(codes, x, y)
     order = np.lexsort((docs[string], h))
     same = np.append(False, h[order][1:] == h[order][:-1])
     pairs = np.flatnonzero(same)
-    alike = np.ones(len(pairs), bool)
-    for j in range(k):
-        alike &= ids[at[order[pairs]] + j] == ids[at[order[pairs - 1]] + j]
-    if not alike.all():  # different windows of one hash: sort by the numbers themselves
-        columns = [docs[string], *(ids[at + j] for j in reversed(range(k)))]
-        order = np.lexsort(columns)
-        same = np.append(False, np.all([ids[at[order[1:]] + j] == ids[at[order[:-1]] + j] for j in range(k)], axis=0))
+    one, two = order[pairs], order[pairs - 1]
+    if any(joined[a:b] != joined[c:d] for a, b, c, d in zip(x[one].tolist(), y[one].tolist(), x[two].tolist(), y[two].tolist(), strict=True)):
+        # different windows of one hash: they are numbered by their bytes, and sorted by that
+        numbers: dict[bytes, int] = {}
+        h = np.array([numbers.setdefault(joined[a:b], len(numbers)) for a, b in zip(x.tolist(), y.tolist(), strict=True)])
+        order = np.lexsort((docs[string], h))
+        same = np.append(False, h[order][1:] == h[order][:-1])
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order)))) if len(order) else order
     d = docs[string][order]
     hit = np.sort(order[d > d[head]])  # windows in the order of their strings
@@ -212,7 +231,7 @@ def _count(k: int):
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["doc_id", "tag", "start", "end"])
 
         def work(blocks: list[bytes], size: int) -> Iterator[pa.RecordBatch]:
-            parts = max(1, -(-size // BUCKET))
+            parts = min(256, max(1, -(-size // OPEN)))
             for part in range(parts):
                 texts, heads = [], []
                 for block in blocks:

@@ -28,7 +28,8 @@ def test_small_buckets_and_runs_of_super_k_mers_give_the_same(spark, edge, duck,
     from sparkloom.llm import substrings
 
     monkeypatch.setattr(substrings, "BUCKET", 20_000)
-    monkeypatch.setattr(substrings, "FLUSH", 300)
+    monkeypatch.setattr(substrings, "OPEN", 3_000)
+    monkeypatch.setattr(substrings, "FLUSH", 2_000)
     monkeypatch.setattr(substrings, "PARTITIONS", 3)
     same(QUERIES["op5_substrings"](spark, f"{edge}/full").collect(), duck(ORACLE_SQL["op5_substrings"], documents=f"{edge}/full/documents.parquet/*.parquet"))
 
@@ -42,7 +43,7 @@ def test_equal_hashes_of_windows_are_told_apart(monkeypatch):
     args = (np.array([3, 2, 1]), np.array([0, 0, 0]), np.array([0, 10, 20]), 3)
     want = [(3, 0, 0, 3), (2, 0, 11, 14)]
     assert sorted(substrings.repeats(texts, *args)) == sorted(want)
-    monkeypatch.setattr(substrings, "_window_hash", lambda ids, at, k: np.zeros(len(at), np.uint64))
+    monkeypatch.setattr(substrings, "range_hashes", lambda codes, start, end: np.zeros(len(start), np.uint64))
     assert sorted(substrings.repeats(texts, *args)) == sorted(want)
 
 
