@@ -99,6 +99,10 @@ class Engine:
 
     def _load(self, prefix: str | None, name: str) -> str:
         key = name.lower()
+        if prefix == "mem":  # a materialized view by its prefix
+            if key not in self.mats:
+                raise DialectError(f"no materialized view {name}")
+            prefix = None
         if prefix is not None:
             key = f"{prefix}:{name}"
             if key not in self.tables:

@@ -47,8 +47,12 @@ def test_materialized_views(e, spark):
     assert "already" in e.execute("CREATE MATERIALIZED VIEW IF NOT EXISTS m AS SELECT 1 AS x").notice
     with pytest.raises(DialectError, match="twice"):
         e.execute("CREATE MATERIALIZED VIEW d AS SELECT a.name, b.name FROM emp a JOIN emp b ON a.name = b.name")
+    e.execute("REFRESH MATERIALIZED VIEW m")
+    assert e.query("SELECT total FROM mem:m").first()[0] == 500.0
     e.execute("DROP MATERIALIZED VIEW m")
     assert "m" not in e.names()
+    with pytest.raises(DialectError):
+        e.query("SELECT total FROM mem:m")
 
 
 def test_persistent_views_survive(e, spark, tmp_path):
