@@ -52,9 +52,10 @@ class Result:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession | None = None, base: str = ".", store: str | None = None, strict: bool = False):
+    def __init__(self, spark: SparkSession | None = None, base: str = ".", store: str | None = None, strict: bool = False, asof_bins: int = 0):
         self.spark = spark or session()
         self.base, self.store, self.strict = base, store, strict
+        self.asof_bins = asof_bins  # ranges of time that as-of joins with keys are cut into, for keys with very many rows
         self.tables: dict[str, str] = {}
         self.specs: dict[str, sources.Spec] = {}
         self.views: dict[str, str] = {}
@@ -130,7 +131,7 @@ class Engine:
 
     # queries
     def _compile(self, q: object) -> tuple[Query, Compiler]:
-        compiler = Compiler(self.spark, self._load, self.strict)
+        compiler = Compiler(self.spark, self._load, self.strict, self.asof_bins)
         return compiler.compile(q), compiler
 
     def _frame(self, q: Query) -> DataFrame:

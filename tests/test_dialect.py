@@ -137,6 +137,8 @@ def test_asof(engine, spark, on, kind, expected):
     engine.register("e", spark.createDataFrame([(1, 5), (1, 2), (2, 5)], "k bigint, ts bigint"))
     engine.register("r", spark.createDataFrame([(1, 1, 10), (1, 4, 40), (2, 6, 60)], "k bigint, ts2 bigint, v bigint"))
     assert rows(engine, f"SELECT e.k, e.ts, r.v FROM e ASOF {kind} JOIN r ON {on} AND e.k = r.k") == expected
+    engine.asof_bins = 3
+    assert rows(engine, f"SELECT e.k, e.ts, r.v FROM e ASOF {kind} JOIN r ON {on} AND e.k = r.k") == expected
     assert rows(engine, "SELECT r.v FROM (SELECT 5 AS ts) e ASOF JOIN r ON e.ts >= r.ts2") == [(40,)]
     assert rows(engine, "SELECT r.v FROM (SELECT 4 AS ts) e ASOF JOIN r ON e.ts > r.ts2") == [(10,)]
     for bad in ("e.k = r.k", "e.ts > r.ts2 AND e.ts < r.ts2", "e.ts > r.ts2 AND e.k > 1", "e.ts > r.ts2 OR e.k = r.k"):
