@@ -1,23 +1,25 @@
 """Substring deduplication by super-k-mer partitioning.
 
-A window is WINDOW consecutive words of a document. Its minimiser is the word of least hash in it. Consecutive windows with the
-same minimiser travel together as one packed string of their words to the minimiser's bucket, so equal windows always meet,
-and a window's words are sent little more than twice. In a bucket, windows are sorted by a hash of their bytes,
-and neighbours of equal hash are compared byte by byte; each run of equal windows then knows its smallest document. Every window that also starts in a document with a smaller doc_id marks its words.
+A window is WINDOW consecutive words of a document. Its minimiser is the pair of neighbouring words of least hash in it (a pair,
+because a frequent word of low hash would draw a large part of all windows to itself). Consecutive windows with the same
+minimiser travel together as one packed string of their words to the minimiser's bucket, so equal windows always meet, and
+each word is sent about three times. In a bucket, windows are sorted by a hash of their bytes, and neighbours of equal hash
+are compared byte by byte; each run of equal windows then knows its smallest document. Every window that also starts in a
+document with a smaller doc_id marks its words.
 
 Nothing unbounded meets in one task:
 * a task that has seen a packed string in a smaller document marks the larger one's words at once and sends nothing, so a
   bucket gets a string once for each FLUSH bytes of a task at most, not once for each copy;
 * the number of buckets follows the corpus (BUCKET bytes of words each), and a bucket that is larger is split by further
-  bits of its minimisers' hashes and worked off part by part, up to 256 parts.
+  bits of its minimisers' hashes and worked off part by part, up to 256 parts; only one minimiser's strings open together.
 
 Packed strings of one bucket travel as one compressed block for each FLUSH bytes of a task, not as rows. Marks come back as
 rows (doc_id, tag, start, end), tag being a hash of the text, are gathered for each document, and meet its text again in a
 join by both.
 
 Defined results: null and empty texts have no words; a null doc_id is larger than every other; rows that repeat a doc_id are
-versions of one document, which can't mark each other's words, each marked where its own windows start in a smaller one; an empty table gives an
-empty result; further columns are not looked at.
+versions of one document, which can't mark each other's words, each marked where its own windows start in a smaller one; an
+empty table gives an empty result; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -48,6 +50,7 @@ _ODD = 0x9E3779B97F4A7C15
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number modulo 2**64, and of its inverse."""
     if not _powers or len(_powers[0]) < n + 1:
+        n = 1 << n.bit_length()
         _powers[:] = [np.cumprod(np.append(np.uint64(1), np.full(n, x, np.uint64)), dtype=np.uint64) for x in (_ODD, pow(_ODD, -1, 1 << 64))]
     return _powers[0], _powers[1]
 
@@ -130,8 +133,9 @@ def _send(k: int, buckets: int):
             offsets = np.cumsum([0, *(len(r) + 1 for r in raws[:-1])])
             doc_of = np.searchsorted(offsets, begun, "right") - 1
             base = np.searchsorted(doc_of, np.arange(len(raws)))  # each document's first word
-            h = range_hashes(codes, start, end) >> np.uint64(32)
-            least = minimisers(h, k) if len(h) >= k else np.zeros(0, np.uint64)
+            h = range_hashes(codes, start, end)
+            h = _mixed(h[:-1] * np.uint64(_ODD) + h[1:]) >> np.uint64(32)  # of each word and the next
+            least = minimisers(h, k - 1) if len(h) >= k - 1 else np.zeros(0, np.uint64)
             inside = doc_of[: len(least)] == doc_of[k - 1 :]
             change = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (doc_of[1 : len(least)] != doc_of[: len(least) - 1]))) if len(least) else np.zeros(0, np.int64)
             ends = np.append(change[1:], len(least)) if len(change) else change
