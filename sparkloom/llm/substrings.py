@@ -39,7 +39,7 @@ from .common import release
 
 WINDOW = 13
 #: Bytes of a bucket's packed strings, of those that are opened together, of texts that a task packs together, and the most partitions of buckets.
-BUCKET, OPEN, FLUSH, PARTITIONS = 8_000_000, 4_000_000, 2_500_000, 20_000
+BUCKET, OPEN, FLUSH, PARTITIONS = 8_000_000, 4_000_000, 3_500_000, 20_000
 NULL_ID = (1 << 63) - 1
 
 
@@ -121,7 +121,7 @@ def _send(k: int, buckets: int):
     """Map side: (bucket, block) rows. A block holds packed strings with their places, and marks that are known already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=7)
         raws: list[bytes] = []
         owners: list[tuple[int, int]] = []  # doc_id, tag
         rows_seen: set[tuple[int, int]] = set()  # a repeated row has the marks of the first
