@@ -1,9 +1,11 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
 Texts are compared as code points in lower case, with every run of other characters than letters and digits as one space.
-A benchmark item is cut into overlapping segments; a segment of m characters may differ by k = EDITS * m edits. If a text
-holds it so, then at least m - Q + 1 - k * Q of the segment's q-grams stand in the text on diagonals (text place less
-segment place) at most k apart. So the q-grams' hits are counted in diagonal bands, each overlapping the next by half; bands
+An item of more than SEGMENT characters is cut into segments of that many, STRIDE apart; one of up to SEGMENT + WINDOW / 2 is
+a segment as a whole (too). A segment of m characters may differ by k = min(EDITS * m, (m - Q) / Q) edits, rounded down: a
+tenth, but 2 for 30 and 31 characters. As STRIDE isn't above the edits of a segment, any verbatim quote of SEGMENT less those
+(87) characters of a longer item is found, wherever it starts; of shorter items, nine tenths. If a text holds a segment so, then at least m - Q + 1 - k * Q of the segment's q-grams stand in the text on diagonals (text place less
+segment place) at most k apart. So the q-grams' hits are counted, for the segments that start within WINDOW together, in diagonal bands, each overlapping the next by half; bands
 with fewer hits than the lemma asks are left, and in the rest a banded alignment finds the least edits. An item's segment
 within its budget marks the document.
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import release
 
 Q, EDITS, LEAST = 8, 0.1, 30
-SEGMENT, STRIDE = 96, 32
+SEGMENT, STRIDE, WINDOW = 96, 8, 32
 #: Diagonals of half a band; more than the edits of the longest segment.
 BAND = 16
 #: Characters of one block of the benchmark, and of documents that are looked at together.
@@ -78,37 +81,50 @@ def grams(codes: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """The segments of a block of items, and where each q-gram stands in them."""
+    """The segments of a block of items, and where each q-gram stands in windows of neighbouring segments."""
 
     def __init__(self, items: list[tuple[int | None, str]]):
-        self.item, self.codes, self.total = [], [], []
+        self.item, self.total, kept, begin, size, windows, base = [], [], [], [], [], [], 0
         with np.errstate(over="ignore"):
             for item, text in items:
                 codes, _ = normalised("\0" + text.replace("\0", " "))
                 codes = codes[1:]
                 while len(codes) and codes[-1] == 32:
                     codes = codes[:-1]
-                if len(codes) < LEAST:
+                n = len(codes)
+                if n < LEAST:
                     continue
-                starts = [0] if len(codes) <= SEGMENT + STRIDE // 2 else sorted({*range(0, len(codes) - SEGMENT, STRIDE), len(codes) - SEGMENT})
-                for s in starts:
-                    self.item.append(item)
-                    self.codes.append(codes if len(starts) == 1 else codes[s : s + SEGMENT])
-                    self.total.append(len(starts))
-            self.m = np.array([len(c) for c in self.codes], np.int64)
+                own = [(0, n)] if n <= SEGMENT + WINDOW // 2 else []
+                first = len(begin)
+                windows += [(base, n, first, 1)] * len(own)
+                if n > SEGMENT:
+                    starts = sorted({*range(0, n - SEGMENT, STRIDE), n - SEGMENT})
+                    for _, group in groupby(starts, lambda x: x // WINDOW):
+                        near = list(group)
+                        windows.append((base + near[0], near[-1] - near[0] + SEGMENT, first + len(own), len(near)))
+                        own += [(x, SEGMENT) for x in near]
+                begin += [base + x for x, _ in own]
+                size += [m for _, m in own]
+                self.item += [item] * len(own)
+                self.total += [len(own)] * len(own)
+                kept.append(codes)
+                base += n
+            self.text = np.concatenate(kept) if kept else np.zeros(0, np.uint32)
+            self.begin, self.m = np.array(begin, np.int64), np.array(size, np.int64)
             self.k = np.minimum((self.m * EDITS).astype(np.int64), np.maximum((self.m - Q) // Q, 0))
-            self.need = self.m - Q + 1 - self.k * Q
-            hashes = [grams(c) for c in self.codes]
+            self.at, _, self.own, self.n_own = np.array(windows, np.int64).reshape(-1, 4).T
+            self.need = (self.m - Q + 1 - self.k * Q)[self.own]  # a window's segments are of one length
+            hashes = [grams(self.text[x : x + m]) for x, m, _, _ in windows]
         flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         seg = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]) if hashes else np.zeros(0, np.int64)
         off = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
         if len(flat):
-            # a segment's commonest q-grams are left out, up to half of the hits it needs, and it needs as many fewer
+            # a window's commonest q-grams are left out, up to half of the hits it needs, and it needs as many fewer
             _, back, n = np.unique(flat, return_inverse=True, return_counts=True)
             by = np.lexsort((off, -n[back], seg))
             rank = np.empty(len(flat), np.int64)
             rank[by] = np.arange(len(flat)) - np.searchsorted(seg, seg[by])
-            out = (rank < self.need[seg] // 2) & (n[back] > SEGMENT // STRIDE)
+            out = (rank < self.need[seg] // 2) & (n[back] > SEGMENT // WINDOW + 1)
             self.need = self.need - np.bincount(seg[out], minlength=len(self.need))
             flat, seg, off = flat[~out], seg[~out], off[~out]
         order = np.argsort(flat, kind="stable")
@@ -118,8 +134,13 @@ class Index:
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[self.keys >> _BITS] = True
 
+    @property
+    def codes(self) -> list[np.ndarray]:
+        """The characters of each segment."""
+        return [self.text[x : x + m] for x, m in zip(self.begin, self.m, strict=True)]
+
     def regions(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Segments and bands with enough hits in codes."""
+        """Segments whose window has enough hits in codes, and the least diagonal of the band."""
         with np.errstate(over="ignore"):
             h = grams(codes)
         at = np.flatnonzero(self.maybe[h >> _BITS])
@@ -140,15 +161,18 @@ class Index:
         both = np.bincount(back, hits).astype(np.int64)
         seg, band = key // wide, key % wide - 64
         ok = both >= self.need[seg]
-        return seg[ok], band[ok]
+        window, low = seg[ok], band[ok] * BAND
+        n = self.n_own[window]
+        which = np.repeat(self.own[window] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        return which, np.repeat(low - self.at[window], n) + self.begin[which]
 
-    def align(self, codes: np.ndarray, seg: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def align(self, codes: np.ndarray, seg: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Least edits of each segment in its band, with start and end in codes; segments are of one length."""
         m, k = int(self.m[seg[0]]), int(self.k[seg[0]])
-        lo, wide = band * BAND - k, 2 * BAND + 2 * k + 1
+        lo, wide = low - k, 2 * BAND + 2 * k + 1
         place = lo[:, None] + np.arange(m + wide)
         text = np.where((place >= 0) & (place < len(codes)), codes[np.clip(place, 0, len(codes) - 1)], 0).astype(np.int64)
-        pattern = np.stack([self.codes[s] for s in seg]).astype(np.int64)
+        pattern = self.text[self.begin[seg][:, None] + np.arange(m)].astype(np.int64)
         unit = np.int64(1) << np.int64(20)  # costs are counted in this; below it, the start's place
         cost = np.where(text == 0, 1000, 1) * unit  # of passing a character of the text: borders can't be passed
         far = np.full((len(seg), 1), 1 << 40, np.int64)
