@@ -12,8 +12,9 @@ within its budget marks the document.
 The benchmark is a stated query set: its index is broadcast in blocks of at most BLOCK characters, one pass over the
 documents for each, and documents aren't shuffled.
 
-Defined results: null and empty texts hold nothing; an item that is null, or shorter than LEAST normalised characters, is no
-evidence and matches nothing; repeated rows each get their rows, equal items too; an empty table on either side gives an
+An item shorter than LEAST normalised characters is held where it stands whole, without an edit, between word borders.
+
+Defined results: null and empty texts hold nothing; an item that is null, or without a letter or digit, matches nothing; repeated rows each get their rows, equal items too; an empty table on either side gives an
 empty result; further columns are not looked at.
 """
 
@@ -81,10 +82,11 @@ def grams(codes: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """The segments of a block of items, and where each q-gram stands in windows of neighbouring segments."""
+    """The segments of a block of items, and where each q-gram stands in windows of neighbouring segments; and the short items."""
 
     def __init__(self, items: list[tuple[int | None, str]]):
         self.item, self.total, kept, begin, size, windows, base = [], [], [], [], [], [], 0
+        short: dict[int, dict[bytes, list]] = {}
         with np.errstate(over="ignore"):
             for item, text in items:
                 codes, _ = normalised("\0" + text.replace("\0", " "))
@@ -93,6 +95,8 @@ class Index:
                     codes = codes[:-1]
                 n = len(codes)
                 if n < LEAST:
+                    if n:
+                        short.setdefault(n, {}).setdefault(codes.tobytes(), []).append(item)
                     continue
                 own = [(0, n)] if n <= SEGMENT + WINDOW // 2 else []
                 first = len(begin)
@@ -115,6 +119,7 @@ class Index:
             self.at, _, self.own, self.n_own = np.array(windows, np.int64).reshape(-1, 4).T
             self.need = (self.m - Q + 1 - self.k * Q)[self.own]  # a window's segments are of one length
             hashes = [grams(self.text[x : x + m]) for x, m, _, _ in windows]
+            self.short = {m: self._short(m, found) for m, found in sorted(short.items())}
         flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         seg = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]) if hashes else np.zeros(0, np.int64)
         off = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
@@ -139,6 +144,37 @@ class Index:
         """The characters of each segment."""
         return [self.text[x : x + m] for x, m in zip(self.begin, self.m, strict=True)]
 
+    @staticmethod
+    def _short(m: int, found: dict[bytes, list]) -> tuple[np.ndarray, np.ndarray, list]:
+        """Sorted hashes of short items of m characters, the characters, and who has them."""
+        texts = np.stack([np.frombuffer(x, np.uint32) for x in found])
+        hashes = (texts.astype(np.uint64) * np.cumprod(np.full(m, _BASE))).sum(axis=1, dtype=np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        own = list(found.values())
+        return hashes[order], texts[order], [own[i] for i in order]
+
+    def whole(self, codes: np.ndarray) -> Iterator[tuple[int | None, int, int]]:
+        """Short items that stand in codes between word borders: item, start, end."""
+        if not self.short:
+            return
+        border = (codes == 32) | (codes == 0)
+        starts = np.flatnonzero(~border & np.append(True, border[:-1]))
+        with np.errstate(over="ignore"):
+            powers = np.cumprod(np.full(len(codes), _BASE))
+            back = np.cumprod(np.full(len(codes), np.uint64(pow(int(_BASE), -1, 1 << 64))))
+            sums = np.append(np.uint64(0), np.cumsum(codes.astype(np.uint64) * powers, dtype=np.uint64))
+            for m, (hashes, texts, own) in self.short.items():
+                at = starts[starts + m <= len(codes)]
+                at = at[np.append(border, True)[at + m]]
+                h = (sums[at + m] - sums[at]) * np.where(at > 0, back[at - 1], np.uint64(1))
+                place = np.searchsorted(hashes, h)
+                hit = np.flatnonzero(hashes[np.minimum(place, len(hashes) - 1)] == h)
+                for x, i, key in zip(at[hit].tolist(), place[hit].tolist(), h[hit], strict=True):
+                    while i < len(hashes) and hashes[i] == key:
+                        if (codes[x : x + m] == texts[i]).all():
+                            yield from ((item, x, x + m) for item in own[i])
+                        i += 1
+
     def regions(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Segments whose window has enough hits in codes, and the least diagonal of the band."""
         with np.errstate(over="ignore"):
@@ -202,6 +238,10 @@ def _find(index: Index, ids: list, texts: list[str]) -> Iterator[tuple]:
                 doc = int(np.searchsorted(borders, start[x], "right")) - 1
                 origin = at[borders[doc]] + 1
                 found.setdefault((doc, index.item[s[x]], index.total[s[x]]), []).append((int(s[x]), int(edits[x]), int(at[start[x]] - origin), int(at[end[x] - 1] + 1 - origin)))
+    for item, start, end in index.whole(codes):
+        doc = int(np.searchsorted(borders, start, "right")) - 1
+        origin = at[borders[doc]] + 1
+        found.setdefault((doc, item, 1), []).append((-1, 0, int(at[start] - origin), int(at[end - 1] + 1 - origin)))
     for (doc, item, total), hits in sorted(found.items(), key=lambda x: (x[0][0], str(x[0][1]))):
         best: dict[int, int] = {}
         for s, e, _, _ in hits:
