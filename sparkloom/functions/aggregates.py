@@ -35,11 +35,16 @@ def call(name: str, args: list[Arg], distinct: bool = False, over: bool = False)
         sep = string(args[1]) if len(args) > 1 else "''"
         if over:
             return f"ARRAY_JOIN(ARRAY_SORT(COLLECT_LIST({string(x)}) {{over}}), {sep})", "string"
+        if distinct:  # a set of its own, as Spark's LISTAGG(DISTINCT) can't stand beside other DISTINCT aggregates
+            return f"CASE WHEN COUNT({string(x)}) > 0 THEN ARRAY_JOIN(ARRAY_SORT(COLLECT_SET({string(x)})), {sep}) END", "string"
         return f"LISTAGG({d}{string(x)}, {sep}) WITHIN GROUP (ORDER BY {string(x)})", "string"
     if name == "median":
         return f"PERCENTILE({d}{double(x)}, 0.5D)", "float"
     if name in ("percentile_cont", "quantile"):
         return f"PERCENTILE({d}{double(x)}, {_share(args[1])})", "float"
+    if name == "percentile_disc" and distinct:
+        values = f"ARRAY_SORT(COLLECT_SET({double(x)}))"
+        return f"TRY_ELEMENT_AT({values}, GREATEST(1, CAST(CEIL({_share(args[1])} * SIZE({values})) AS INT)))", "float"
     if name == "percentile_disc":
         return f"CAST(PERCENTILE_DISC({_share(args[1])}) WITHIN GROUP (ORDER BY {double(x)}) AS DOUBLE)", "float"
     if name in ("stddev", "stddev_samp", "stddev_pop", "variance", "var_samp", "var_pop"):

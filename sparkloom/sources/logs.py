@@ -1,7 +1,8 @@
 """Log files: a format found on the first lines, then one parse of every line by Spark's expressions.
 
 Each format but JSON and logfmt is a regular expression with named groups. A line that doesn't fit keeps its text in raw and
-has NULL elsewhere. Values that all fit are integers, floats or booleans, by the sample; times are TIMESTAMP_NTZ.
+has NULL elsewhere. Columns and their types follow from all lines, in one pass of executors: a column is integers, floats or
+booleans if all its values are, so no value is lost; times are TIMESTAMP_NTZ. The sample only tells the format.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ FORMATS = {
     "leveled": r"^(?P<time>\d{4}[-/]\d\d[-/]\d\d[T ]\d\d:\d\d:\d\d(?:[.,]\d+)?(?:Z|[+-]\d\d:?\d\d)?)\s+\[?(?P<level>(?i:TRACE|DEBUG|INFO|NOTICE|WARN|WARNING|ERROR|FATAL|CRITICAL))\]?:?\s+(?P<message>.*)$",
 }
 _PAIR = re.compile(r'([A-Za-z_][\w.\-]*)=("(?:[^"\\]|\\.)*"|\S*)')
-_TIMES = (("yyyy-MM-dd'T'HH:mm:ss", None), ("dd/MMM/yyyy:HH:mm:ss Z", None), ("MMM d HH:mm:ss", None))
+TIME_NAMES = ("time", "ts", "timestamp")
 
 
 def is_json(line: str) -> bool:
@@ -49,13 +50,18 @@ def detect(lines: list[str]) -> str:
     return "raw"
 
 
-def kind(values: list[str]) -> str:
-    """bigint, double, boolean or string: what all values are."""
-    if values and all(re.fullmatch(r"[+-]?\d{1,18}", v) for v in values):
-        return "bigint"
-    if values and all(re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", v) for v in values):
-        return "double"
-    return "boolean" if values and all(v.lower() in ("true", "false") for v in values) else "string"
+#: Texts of a type, from the narrowest.
+KINDS = (("bigint", r"^[+-]?\d{1,18}$"), ("double", r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), ("boolean", r"^(?i:true|false)$"))
+
+
+def kinds(text: Column) -> list[Column]:
+    """Aggregates: whether all values of a column are of each type; NULL without any."""
+    return [F.bool_and(text.rlike(rx)) for _, rx in KINDS]
+
+
+def typed(text: Column, flags: list[bool | None]) -> Column:
+    kind = next((k for (k, _), flag in zip(KINDS, flags, strict=True) if flag), None)
+    return text.try_cast(kind) if kind else text
 
 
 def as_time(c: Column) -> Column:
@@ -69,7 +75,7 @@ def as_time(c: Column) -> Column:
     return F.coalesce(zoned, plain, access, syslog, epoch)
 
 
-def by_pattern(df: DataFrame, pattern: str, sample: list[str], access: bool = False) -> DataFrame:
+def by_pattern(df: DataFrame, pattern: str, access: bool = False) -> DataFrame:
     """Columns of the named groups, and raw for lines without a match."""
     try:
         rx = re.compile(pattern)
@@ -79,45 +85,42 @@ def by_pattern(df: DataFrame, pattern: str, sample: list[str], access: bool = Fa
         raise DialectError("a pattern needs named groups")
     java, line = re.sub(r"\(\?P<\w+>", "(", pattern), F.col("value")
     fits = line.rlike(java)
-    found = [m for m in map(rx.match, sample) if m]
     # Spark's regexp_extract counts groups, so every one is found by its number
-    cols: list[tuple[str, Column]] = []
+    texts: dict[str, Column] = {}
     for name, n in sorted(rx.groupindex.items(), key=lambda x: x[1]):
         text = F.when(fits, F.nullif(F.nullif(F.regexp_extract(line, java, n), F.lit("")), F.lit("-")))
         if name == "request" and access:
-            for k, part in enumerate(("method", "path", "protocol")):
-                cols.append((part, F.get(F.split(text, " "), F.lit(k))))
-            continue
-        if name in ("time", "ts", "timestamp"):
-            cols.append((name, as_time(text)))
-            continue
-        values = [v for m in found if (v := m[name]) not in (None, "", "-")]
-        cols.append((name, text.try_cast(kind(values)) if kind(values) != "string" else text))
-    return df.select(*[c.alias(n) for n, c in cols], F.when(~fits, line).alias("raw"))
-
-
-def by_pairs(df: DataFrame, sample: list[str]) -> DataFrame:
-    """logfmt: a column for each key of the sample, in order."""
-    keys: dict[str, list[str]] = {}
-    for x in sample:
-        for k, v in _PAIR.findall(x):
-            keys.setdefault(k, []).append(v[1:-1] if v.startswith('"') else v)
+            texts |= {part: F.get(F.split(text, " "), F.lit(k)) for k, part in enumerate(("method", "path", "protocol"))}
+        else:
+            texts[name] = text
+    free = [n for n in texts if n not in TIME_NAMES and not (access and n in ("method", "path", "protocol"))]
+    flags = iter(df.agg(*[x for n in free for x in kinds(texts[n])]).first() if free else ())
+    found = {n: [next(flags) for _ in KINDS] for n in free}
+    return df.select(*[(as_time(t) if n in TIME_NAMES else typed(t, found[n]) if n in found else t).alias(n) for n, t in texts.items()], F.when(~fits, line).alias("raw"))
+
+
+def by_pairs(df: DataFrame) -> DataFrame:
+    """logfmt: a column for each key of any line, in the order of their first places in a line, then by name. Of a key's values in a line, the first counts."""
     line = F.col("value")
+    names = F.regexp_extract_all(line, F.lit(_PAIR.pattern), F.lit(1))
+    values = F.transform(F.regexp_extract_all(line, F.lit(_PAIR.pattern), F.lit(2)), lambda v: F.nullif(F.when(v.startswith('"'), F.regexp_replace(v, '^"|"$', "")).otherwise(v), F.lit("")))
+    df = df.select("value", names.alias("__names"), values.alias("__values"))
+    each = df.select(F.posexplode(F.arrays_zip("__names", "__values"))).select("pos", F.col("col.__names").alias("name"), F.col("col.__values").alias("text"))
+    keys = sorted(each.groupBy("name").agg(F.min("pos").alias("at"), *kinds(F.col("text"))).collect(), key=lambda r: (r["at"], r["name"]))  # a row for each column
     cols = []
-    for k, values in keys.items():
-        rx = rf'(?:^|\s){re.escape(k)}=(?:"((?:[^"\\]|\\.)*)"|(\S*))'
-        text = F.when(line.rlike(rx), F.coalesce(F.nullif(F.regexp_extract(line, rx, 1), F.lit("")), F.nullif(F.regexp_extract(line, rx, 2), F.lit(""))))
-        cols.append((as_time(text) if k in ("time", "ts", "timestamp") else text.try_cast(kind(values)) if kind(values) != "string" else text).alias(k))
-    return df.select(*cols, F.when(~line.rlike(r"[A-Za-z_][\w.\-]*="), line).alias("raw"))
+    for name, _, *flags in keys:
+        text = F.get("__values", (F.array_position("__names", name) - 1).cast("int"))
+        text = F.when(F.array_contains("__names", name), text)
+        cols.append((as_time(text) if name in TIME_NAMES else typed(text, flags)).alias(name))
+    return df.select(*cols, F.when(F.size("__names") == 0, line).alias("raw"))
 
 
 def frame(lines: DataFrame, spec: Spec) -> DataFrame:
     """Rows of a DataFrame of lines (value)."""
     lines = lines.filter(F.trim("value") != "")
-    sample = [r["value"] for r in lines.limit(SAMPLE).collect()]
     if "pattern" in spec.options:
-        return by_pattern(lines, spec.options["pattern"], sample)
-    form = spec.options.get("format") or detect(sample)
+        return by_pattern(lines, spec.options["pattern"])
+    form = spec.options.get("format") or detect([r["value"] for r in lines.limit(SAMPLE).collect()])
     if form == "raw":
         return lines.select(F.col("value").alias("raw"))
     if form == "json":
@@ -127,10 +130,10 @@ def frame(lines: DataFrame, spec: Spec) -> DataFrame:
         good = json_rows(lines.filter(ok & F.trim("value").startswith("{")))
         return good.unionByName(lines.filter(~(ok & F.trim("value").startswith("{"))).select(F.col("value").alias("raw")), allowMissingColumns=True)
     if form == "logfmt":
-        return by_pairs(lines, sample)
+        return by_pairs(lines)
     if form not in FORMATS:
         raise DialectError(f"unknown log format {form}")
-    return by_pattern(lines, FORMATS[form], sample, form in ("combined", "common"))
+    return by_pattern(lines, FORMATS[form], form in ("combined", "common"))
 
 
 @opener("log")

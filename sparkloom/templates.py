@@ -1,13 +1,17 @@
 """Mining of log templates: lines are masked, clustered by their words, and each cluster becomes a pattern with named groups.
 
-Mining reads a sample on the driver; the patterns it finds are then matched with every line by executors.
+Executors mask and cluster all lines, each task its own, and give the driver their templates with counts; there, templates
+are merged as lines are, so what a line's template is follows from all lines. The driver sees templates, not lines: at most
+MOST of a task, the commonest; what a task has beyond counts as OTHER, and is told.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,7 +112,48 @@ def assign(lines: DataFrame, templates: list[Template], column: str = "value") -
     return lines.withColumn("template", out)
 
 
-def count(lines: DataFrame, sample: int = 5000, column: str = "value") -> DataFrame:
-    """template, n over all lines; templates are mined from a sample."""
-    found = mine([r[0] for r in lines.select(column).limit(sample).collect() if r[0]])
-    return assign(lines, found, column).groupBy("template").agg(F.count(F.lit(1)).alias("n"))
+#: Templates that one task may send.
+MOST, OTHER = 10_000, "<other>"
+
+
+def merged(found: list[Template], least: float = SIMILAR) -> list[Template]:
+    """Templates of several tasks as one list: similar ones become one, the commonest first."""
+    groups: dict[tuple, list[Template]] = {}
+    for t in sorted(found, key=lambda t: (-t.count, t.text())):
+        first = t.words[0] if t.words and t.words[0] is not None and not t.words[0].startswith("<") else ""
+        own = groups.setdefault((len(t.words), first), [])
+        best = max(own, key=lambda o: similarity(o.words, t.words), default=None)
+        if best is not None and (best.words == t.words or similarity(best.words, t.words) >= least):
+            best.words = [x if x == y else None for x, y in zip(best.words, t.words, strict=True)]
+            best.count += t.count
+            best.examples = (best.examples + t.examples)[:3]
+        else:
+            own.append(Template(list(t.words), t.count, t.examples[:3]))
+    out: dict[str, Template] = {}
+    for t in (t for own in groups.values() for t in own):
+        if (same := out.get(t.text())) is not None:
+            same.count += t.count
+        else:
+            out[t.text()] = t
+    return sorted(out.values(), key=lambda t: (-t.count, t.text()))
+
+
+def mined(lines: DataFrame, column: str = "value") -> list[Template]:
+    """The templates of all lines."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: list[Template] = []
+        for df in batches:
+            found = merged(found + mine([x for x in df["line"] if x]))
+        rest = sum(t.count for t in found[MOST:])
+        rows = [([w or "" for w in t.words], t.count, t.examples) for t in found[:MOST]] + [([OTHER], rest, [])] * (rest > 0)
+        yield pd.DataFrame(rows, columns=["words", "n", "examples"])
+
+    rows = lines.select(F.col(column).alias("line")).mapInPandas(run, "words array<string>, n bigint, examples array<string>").collect()
+    return merged([Template([w or None for w in r["words"]], r["n"], list(r["examples"])) for r in rows])
+
+
+def count(lines: DataFrame, column: str = "value") -> DataFrame:
+    """template, n over all lines."""
+    found = [(t.text(), t.count) for t in mined(lines, column)]
+    return lines.sparkSession.createDataFrame(found, "template string, n bigint")

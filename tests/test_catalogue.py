@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 DATA = os.environ.get("SPARKLOOM_TEST_DATA", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-OWN = {**entry.catalogue.QUERIES, **entry.catalogue.SESSIONS, **entry.presentation.QUERIES}
+OWN = {**entry.catalogue.QUERIES, **entry.catalogue.SESSIONS, **entry.presentation.QUERIES, **entry.filequeries.QUERIES}
 
 
 @pytest.fixture(scope="module")

@@ -132,15 +132,15 @@ def test_rate_takes_a_drop_for_a_restart(engine, spark):
     assert ordered(engine, "SELECT RATE(v, t) OVER (ORDER BY t) AS r FROM c ORDER BY t") == [(None,), (3.0,), (3.0,)]
 
 
-@pytest.mark.parametrize("on, kind, expected", [("e.ts >= r.ts2", "", [(1, 2, 10), (1, 5, 40)]), ("e.ts >= r.ts2", "LEFT", [(1, 2, 10), (1, 5, 40), (2, 5, None)]), ("r.ts2 <= e.ts", "", [(1, 2, 10), (1, 5, 40)]), ("e.ts <= r.ts2", "", [(1, 2, 40), (2, 5, 60)])])
+@pytest.mark.parametrize("on, kind, expected", [("e.ts >= r.ts2", "", [(7, 30, 1), (7, 90, 3)]), ("e.ts >= r.ts2", "LEFT", [(7, 30, 1), (7, 90, 3), (8, 90, None)]), ("r.ts2 <= e.ts", "", [(7, 30, 1), (7, 90, 3)]), ("e.ts <= r.ts2", "", [(7, 30, 3), (8, 90, 5)])])
 def test_asof(engine, spark, on, kind, expected):
-    engine.register("e", spark.createDataFrame([(1, 5), (1, 2), (2, 5)], "k bigint, ts bigint"))
-    engine.register("r", spark.createDataFrame([(1, 1, 10), (1, 4, 40), (2, 6, 60)], "k bigint, ts2 bigint, v bigint"))
+    engine.register("e", spark.createDataFrame([(7, 90), (7, 30), (8, 90)], "k bigint, ts bigint"))
+    engine.register("r", spark.createDataFrame([(7, 25, 1), (7, 70, 3), (8, 95, 5)], "k bigint, ts2 bigint, v bigint"))
     assert rows(engine, f"SELECT e.k, e.ts, r.v FROM e ASOF {kind} JOIN r ON {on} AND e.k = r.k") == expected
     engine.asof_bins = 3
     assert rows(engine, f"SELECT e.k, e.ts, r.v FROM e ASOF {kind} JOIN r ON {on} AND e.k = r.k") == expected
-    assert rows(engine, "SELECT r.v FROM (SELECT 5 AS ts) e ASOF JOIN r ON e.ts >= r.ts2") == [(40,)]
-    assert rows(engine, "SELECT r.v FROM (SELECT 4 AS ts) e ASOF JOIN r ON e.ts > r.ts2") == [(10,)]
+    assert rows(engine, "SELECT r.v FROM (SELECT 80 AS ts) e ASOF JOIN r ON e.ts >= r.ts2") == [(3,)]
+    assert rows(engine, "SELECT r.v FROM (SELECT 70 AS ts) e ASOF JOIN r ON e.ts > r.ts2") == [(1,)]
     for bad in ("e.k = r.k", "e.ts > r.ts2 AND e.ts < r.ts2", "e.ts > r.ts2 AND e.k > 1", "e.ts > r.ts2 OR e.k = r.k"):
         with pytest.raises(DialectError):
             engine.query(f"SELECT r.v FROM e ASOF JOIN r ON {bad}")

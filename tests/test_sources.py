@@ -105,7 +105,7 @@ LOGS = {
     "common": ['10.0.0.1 - - [10/Oct/2023:13:55:36 +0000] "GET /a HTTP/1.0" 200 10'],
     "syslog": ["Oct 11 22:14:15 web sshd[42]: Failed password", "<13>Oct  1 02:14:15 db cron: run"],
     "leveled": ["2024-01-02 03:04:05,250 INFO started", "2024-01-02T03:04:06Z [ERROR] broke"],
-    "logfmt": ['level=info msg="all good" status=200 dur=1.5', 'level=warn msg=slow status=500 dur=2'],
+    "logfmt": ['sev=low text="pump started" code=17 load=0.25', 'sev=high text=leak code=99 load=3'],
     "json": ['{"level": "info", "port": 80}', '{"level": "warn", "msg": "x"}'],
     "raw": ["anything", "at all"],
 }
@@ -126,7 +126,7 @@ def test_log_rows(spark):
     rows = got.collect()
     assert (rows[0]["time"], rows[0]["status"], rows[0]["path"], rows[1]["bytes"], rows[2]["raw"], rows[2]["host"]) == (dt.datetime(2023, 10, 10, 13, 55, 36), 200, "/a", None, "garbage", None)
     a, b = frame(spark, LOGS["logfmt"]).collect()
-    assert (a["msg"], a["status"], b["dur"], b["msg"]) == ("all good", 200, 2.0, "slow")
+    assert (a["text"], a["code"], b["load"], b["text"]) == ("pump started", 17, 3.0, "leak")
     a, b = frame(spark, LOGS["leveled"]).collect()
     assert (a["time"], a["level"], b["time"], b["message"]) == (dt.datetime(2024, 1, 2, 3, 4, 5, 250000), "INFO", dt.datetime(2024, 1, 2, 3, 4, 6), "broke")
     assert [r["port"] for r in frame(spark, [*LOGS["json"], "x"], format="json").orderBy("port").collect()] == [None, None, 80]
@@ -138,6 +138,16 @@ def test_log_rows(spark):
             frame(spark, ["x"], pattern=bad)
 
 
+def test_late_keys_and_values_are_kept(spark):
+    lines = [f"sev=low code={i}" for i in range(300)] + ["sev=high code=none extra=1 extra=2", "no pairs at all", 'sev="a b" code=']
+    got = frame(spark, lines, format="logfmt")
+    assert got.columns == ["sev", "code", "extra", "raw"] and dict(got.dtypes) == {"sev": "string", "code": "string", "extra": "bigint", "raw": "string"}
+    rows = [tuple(r) for r in got.collect()]
+    assert rows[0] == ("low", "0", None, None) and rows[300:] == [("high", "none", 1, None), (None, None, None, "no pairs at all"), ("a b", None, None, None)]
+    got = frame(spark, [f"n={i}" for i in range(300)] + ["n=x"], pattern=r"n=(?P<n>\w+)")
+    assert got.dtypes[0] == ("n", "string") and got.collect()[300][0] == "x"
+
+
 def test_log_file(engine, tmp_path):
     put(tmp_path / "app.log", "\n".join(LOGS["leveled"]) + "\n\n")
     assert engine.query(f"SELECT level, COUNT(*) AS n FROM log:{tmp_path}/app.log GROUP BY level ORDER BY level").collect() == [("ERROR", 1), ("INFO", 1)]
@@ -248,3 +258,5 @@ def test_templates(spark):
     assert templates.common(["a b 1 c", "a b 22 d c"]).text() == "a b <num> <*> c"
     df = spark.createDataFrame([(x,) for x in [*lines, "other"]], "value string")
     assert dict(templates.count(df).collect()) == {"<time> user <num> logged in from <ip>": 9, "disk full on <*>": 3, "other": 1}
+    late = spark.createDataFrame([(f"line number {i}",) for i in range(7000)] + [("seen at the very end only",)], "value string").repartition(5)
+    assert dict(templates.count(late).collect()) == {"line number <num>": 7000, "seen at the very end only": 1}
