@@ -2,7 +2,8 @@
 
 http: fetches one URL (method, body, bearer and header_NAME options; path: dotted place of the array). The services below are
 the same fetch with their own address, request and shape; each takes an endpoint option, so they can be pointed at a local
-server. A request is made by one executor task; what it returns is rows.
+server. A request is made by one executor task, which follows it page by page; what it returns is rows. Services that need a
+client library are read by an executor task likewise.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ import math
 import time
 import urllib.parse
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +28,11 @@ TIMEOUT = 30
 
 
 def fetch(url: str, options: dict) -> object:
+    return asked(url, options)[0]
+
+
+def asked(url: str, options: dict) -> tuple[object, dict[str, str]]:
+    """The answer, and its headers by their names in lower case."""
     headers = {"Accept": "application/json"} | {k[len("header_") :].replace("_", "-"): v for k, v in options.items() if k.startswith("header_")}
     if options.get("bearer"):
         headers["Authorization"] = f"Bearer {options['bearer']}"
@@ -36,7 +43,7 @@ def fetch(url: str, options: dict) -> object:
         headers.setdefault("Content-Type", "application/json")
     request = urllib.request.Request(url, body.encode() if body else None, headers, method=options.get("method", "POST" if body else "GET").upper())
     with urllib.request.urlopen(request, timeout=TIMEOUT) as r:
-        return json.loads(r.read())
+        return json.loads(r.read()), {k.lower(): v for k, v in r.headers.items()}
 
 
 def at(value: object, path: str | None) -> list:
@@ -47,18 +54,30 @@ def at(value: object, path: str | None) -> list:
     return [r if isinstance(r, dict) else {"value": r} for r in rows]
 
 
-def fetched(spark: SparkSession, jobs: list[tuple[str, dict]], shape) -> DataFrame:
-    """json_rows of what shape makes of each answer; one task for each request."""
+Shape = Callable[[object], Iterable[dict]]
+#: From a request's url, options, answer and headers to the url and options of the next page, or None.
+More = Callable[[str, dict, object, dict], tuple[str, dict] | None]
+
+
+def fetched(spark: SparkSession, jobs: list[tuple[str, dict]], shape: Shape, more: More | None = None) -> DataFrame:
+    """json_rows of what shape makes of each answer and of the pages after it; one task for each request."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            out = []
-            for url, options in zip(df["url"], df["options"], strict=True):
-                out += [json.dumps(r) for r in shape(fetch(url, json.loads(options)))]
-            yield pd.DataFrame({"value": out}, dtype=object)
+            for url, text in zip(df["url"], df["options"], strict=True):
+                page = (url, json.loads(text))
+                while page:
+                    answer, headers = asked(*page)
+                    yield pd.DataFrame({"value": [json.dumps(r) for r in shape(answer)]}, dtype=object)
+                    page = more(*page, answer, headers) if more else None
 
-    asked = spark.createDataFrame([(u, json.dumps(o)) for u, o in jobs], "url string, options string").repartition(len(jobs))
-    return json_rows(asked.mapInPandas(run, "value string").cache())
+    requests = spark.createDataFrame([(u, json.dumps(o)) for u, o in jobs], "url string, options string").repartition(len(jobs))
+    return json_rows(requests.mapInPandas(run, "value string").cache())
+
+
+def _body(options: dict, /, **new: object) -> dict:
+    """Options with these entries in the request's body."""
+    return options | {"body": json.dumps(json.loads(options["body"]) | new)}
 
 
 @opener("http", "https")
@@ -97,7 +116,7 @@ def _ts(name: str):
 
 
 #: The services' own addresses, and for each the request of a dataset and where its records stand.
-GRAPHQL = {"issues": "{ issues { nodes { id identifier title priority createdAt updatedAt state { name } assignee { name } team { key } } } }", "teams": "{ teams { nodes { id key name } } }", "projects": "{ projects { nodes { id name state progress } } }", "users": "{ users { nodes { id name email active } } }"}
+GRAPHQL = {"issues": "id identifier title priority createdAt updatedAt state { name } assignee { name } team { key }", "teams": "id key name", "projects": "id name state progress", "users": "id name email active"}
 
 
 def _flat(r: dict) -> dict:
@@ -115,9 +134,15 @@ def _flat(r: dict) -> dict:
 def linear(spark: SparkSession, spec: Spec, base: str) -> DataFrame:
     if spec.path not in GRAPHQL:
         raise DialectError(f"linear: has {', '.join(GRAPHQL)}")
-    options = {"header_Authorization": spec.options.get("api_key", ""), "body": json.dumps({"query": GRAPHQL[spec.path]})} | spec.options
     what = spec.path
-    return fetched(spark, [(_endpoint(spec, "https://api.linear.app/graphql"), options)], lambda a: map(_flat, a["data"][what]["nodes"]))
+    query = f"query($after: String) {{ {what}(first: 100, after: $after) {{ nodes {{ {GRAPHQL[what]} }} pageInfo {{ hasNextPage endCursor }} }} }}"
+    options = {"header_Authorization": spec.options.get("api_key", ""), "body": json.dumps({"query": query, "variables": {}})} | spec.options
+
+    def more(url, options, answer, headers):
+        info = answer["data"][what].get("pageInfo") or {}
+        return (url, _body(options, variables={"after": info["endCursor"]})) if info.get("hasNextPage") else None
+
+    return fetched(spark, [(_endpoint(spec, "https://api.linear.app/graphql"), options)], lambda a: map(_flat, a["data"][what]["nodes"]), more)
 
 
 @opener("trello")
@@ -172,12 +197,12 @@ def azuredevops(spark: SparkSession, spec: Spec, base: str) -> DataFrame:
     return fetched(spark, jobs, lambda a: [{"id": w["id"]} | {short(k): (v.get("displayName") if isinstance(v, dict) else v) for k, v in w["fields"].items()} for w in a["value"]]) if jobs else spark.createDataFrame([], "id bigint")
 
 
-def _azure(prefix: str, place, body, records) -> None:
+def _azure(prefix: str, place, body, records, more: More | None = None) -> None:
     @opener(prefix)
     def open_(spark: SparkSession, spec: Spec, base: str) -> DataFrame:
         root = _endpoint(spec, "https://api.loganalytics.azure.com" if prefix == "azlogs" else "https://management.azure.com")
-        asked = body(spec)
-        return fetched(spark, [(root + place(spec), ({"body": json.dumps(asked)} if asked else {}) | spec.options)], records)
+        request = body(spec)
+        return fetched(spark, [(root + place(spec), ({"body": json.dumps(request)} if request else {}) | spec.options)], records, more)
 
 
 def _table(columns: list, rows: list) -> Iterator[dict]:
@@ -195,17 +220,28 @@ def _metric_rows(a: dict) -> Iterator[dict]:
                         yield dims | {"timestamp": p["timeStamp"], "resource": m.get("id"), "metric": m["name"]["value"], "unit": m.get("unit"), "aggregation": k, "value": v}
 
 
-_azure("azrgraph", lambda s: "/providers/Microsoft.ResourceGraph/resources?api-version=2022-10-01", lambda s: {"query": s.path, "options": {"resultFormat": "objectArray"}}, lambda a: a["data"])
+def _skip(url: str, options: dict, answer: object, headers: dict) -> tuple[str, dict] | None:
+    token = answer.get("$skipToken")
+    return (url, _body(options, options={"resultFormat": "objectArray", "$skipToken": token})) if token else None
+
+
+_azure("azrgraph", lambda s: "/providers/Microsoft.ResourceGraph/resources?api-version=2022-10-01", lambda s: {"query": s.path, "options": {"resultFormat": "objectArray"}}, lambda a: a["data"], _skip)
 _azure("azlogs", lambda s: f"/v1/workspaces/{s.options.get('workspace', '')}/query", lambda s: {"query": s.path, **({"timespan": s.options["timespan"]} if "timespan" in s.options else {})}, lambda a: _table(a["tables"][0]["columns"], a["tables"][0]["rows"]))
 _azure("azmetrics", lambda s: f"{s.path}/providers/microsoft.insights/metrics?" + urllib.parse.urlencode({"api-version": "2023-10-01", "metricnames": s.options.get("metric", ""), "aggregation": s.options.get("aggregation", "Average"), **{k: s.options[k] for k in ("timespan", "interval", "$filter") if k in s.options}}), lambda s: None, _metric_rows)
-_azure("azcost", lambda s: f"/{s.path}/providers/Microsoft.CostManagement/query?api-version=2023-11-01", lambda s: {"type": "ActualCost", "timeframe": s.options.get("timeframe", "MonthToDate"), "dataset": {"granularity": s.options.get("granularity", "Daily"), "aggregation": {"totalCost": {"name": "Cost", "function": "Sum"}}, "grouping": [{"type": "Dimension", "name": g} for g in s.options.get("group", "").split(",") if g]}}, lambda a: _table(a["properties"]["columns"], a["properties"]["rows"]))
+_azure("azcost", lambda s: f"/{s.path}/providers/Microsoft.CostManagement/query?api-version=2023-11-01", lambda s: {"type": "ActualCost", "timeframe": s.options.get("timeframe", "MonthToDate"), "dataset": {"granularity": s.options.get("granularity", "Daily"), "aggregation": {"totalCost": {"name": "Cost", "function": "Sum"}}, "grouping": [{"type": "Dimension", "name": g} for g in s.options.get("group", "").split(",") if g]}}, lambda a: _table(a["properties"]["columns"], a["properties"]["rows"]), lambda url, options, answer, headers: (link, options) if (link := answer["properties"].get("nextLink")) else None)
 
 
 @opener("azuretables")
 def azuretables(spark: SparkSession, spec: Spec, base: str) -> DataFrame:
     """Entities of a table; $filter is passed as the filter option, sas as the query's signature."""
     query = "&".join(x for x in (urllib.parse.urlencode({"$filter": spec.options["filter"]}) if "filter" in spec.options else "", spec.options.get("sas", "")) if x)
-    return fetched(spark, [(f"{_endpoint(spec, '')}/{spec.path}()?{query}", {"header_Accept": "application/json;odata=nometadata"} | spec.options)], lambda a: a["value"])
+    first = f"{_endpoint(spec, '')}/{spec.path}()?{query}"
+
+    def more(url, options, answer, headers):
+        keys = {k: headers[f"x-ms-continuation-{k.lower()}"] for k in ("NextPartitionKey", "NextRowKey") if f"x-ms-continuation-{k.lower()}" in headers}
+        return (first + "&" * (not first.endswith("?")) + urllib.parse.urlencode(keys), options) if keys else None
+
+    return fetched(spark, [(first, {"header_Accept": "application/json;odata=nometadata"} | spec.options)], lambda a: a["value"], more)
 
 
 def _aws(prefix: str, call) -> None:
@@ -217,8 +253,17 @@ def _aws(prefix: str, call) -> None:
             import boto3
         except ImportError:
             raise DialectError(f"{prefix}: needs boto3, which isn't installed") from None
-        rows = [json.dumps(r, default=str) for r in call(boto3, spec)]
-        return json_rows(spark.createDataFrame([(r,) for r in rows], "value string"))
+        del boto3  # each task has its own
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import boto3
+
+            for _ in batches:
+                rows = iter(call(boto3, spec))
+                while page := [json.dumps(r, default=str) for r in islice(rows, 1000)]:
+                    yield pd.DataFrame({"value": page}, dtype=object)
+
+        return json_rows(spark.range(1, numPartitions=1).mapInPandas(run, "value string").cache())
 
 
 def _pages(client, name: str, key: str, **args):
@@ -260,7 +305,14 @@ def _metrics(boto3, spec: Spec):
 def _cost(boto3, spec: Spec):
     start, _, end = spec.path.partition("/")
     groups = [{"Type": "DIMENSION", "Key": g} for g in spec.options.get("group", "").split(",") if g]
-    for p in boto3.client("ce").get_cost_and_usage(TimePeriod={"Start": start, "End": end}, Granularity=spec.options.get("granularity", "DAILY"), Metrics=["UnblendedCost"], GroupBy=groups)["ResultsByTime"]:
+    client, token, results = boto3.client("ce"), {}, []
+    while True:
+        answer = client.get_cost_and_usage(TimePeriod={"Start": start, "End": end}, Granularity=spec.options.get("granularity", "DAILY"), Metrics=["UnblendedCost"], GroupBy=groups, **token)
+        results += answer["ResultsByTime"]
+        if not answer.get("NextPageToken"):
+            break
+        token = {"NextPageToken": answer["NextPageToken"]}
+    for p in results:
         for g in p["Groups"] or [{"Keys": [], "Metrics": p["Total"]}]:
             yield {"period_start": p["TimePeriod"]["Start"], "period_end": p["TimePeriod"]["End"], "estimated": p["Estimated"], "amount": float(g["Metrics"]["UnblendedCost"]["Amount"])} | {d["Key"].lower(): k for d, k in zip(groups, g["Keys"], strict=True)}
 
