@@ -2,10 +2,15 @@
 
 The sketch of a signal is a histogram over buckets whose width is at most a sixteenth of their values (exact below 32), by
 integer arithmetic: two sketches merge by adding counts, in any order, with the same result every time. Sketches are made
-for each (lang, source), and merged into one for each language and one for all; a group of fewer than MIN_GROUP documents
-uses the sketch above it. A document fails the verdict if a signal lies beyond its group's fence: the upper quartile plus
-FENCE times the distance of the quartiles (at least the signal's least distance), for mean word length also below the lower
-quartile less as much.
+for each (lang, source), and merged into one for each language and one for all.
+
+A document fails the verdict if a signal lies beyond its group's fence. The upper fence is the larger of the group's 99th
+percentile and median + FENCE * (90th percentile - median), so that less than one percent of a group fails by a signal, and
+none where the tail goes on as the bulk lets expect; mean word length has a lower fence of the same form. No fence has a
+fixed part: where nearly all of a group agree in a value, who is beyond it fails; the same counts may pass in one source and
+fail in another. A percentile is taken as the far end of its bucket, so a fence is at most a sixteenth too far out, never too
+near. In a group of fewer than TAIL documents the 99th percentile is the largest value and nobody could fail; such a group
+takes the fences of its language, and a language of so few those of all.
 
 Defined results: a null or empty text has no words, lines or symbols and fails the base rules; a null language or source is
 a group like any other; repeated rows each get a row; an empty table gives an empty result; further columns are not looked at.
@@ -18,14 +23,17 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-MIN_GROUP, FENCE = 50, 3
-#: Signals in thousandths: name, SQL of the value, least distance of the quartiles, whether low values fail too.
+#: One document in TAIL may lie beyond a percentile that is a fence; the bulk's distance that is still no outlier.
+TAIL, FENCE = 100, 3
+#: Signals in thousandths: name, SQL of the value, whether low values fail too.
 SIGNALS = (
-    ("symbols", "n_symbols * 1000 DIV greatest(word_chars, 1)", 20, False),
-    ("repeats", "n_repeat_words * 1000 DIV greatest(n_words, 1)", 100, False),
-    ("dup_lines", "n_dup_lines * 1000 DIV greatest(n_lines, 10)", 100, False),
-    ("word_chars", "word_chars * 1000 DIV greatest(n_words, 1)", 500, True),
+    ("symbols", "n_symbols * 1000 DIV greatest(word_chars, 1)", False),
+    ("repeats", "n_repeat_words * 1000 DIV greatest(n_words, 1)", False),
+    ("dup_lines", "n_dup_lines * 1000 DIV greatest(n_lines, 1)", False),
+    ("word_chars", "word_chars * 1000 DIV greatest(n_words, 1)", True),
 )
+#: The first value of a bucket, in SQL.
+START = "CASE WHEN {b} < 32 THEN {b} ELSE shiftleft({b} % 16 + 16, CAST({b} DIV 16 - 1 AS INT)) END"
 
 
 def with_counts(docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
@@ -58,7 +66,7 @@ def with_counts(docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
 
 def sketches(df: DataFrame) -> DataFrame:
     """lang, source, signal, bucket, n: the histogram of every signal in every group."""
-    values = F.explode(F.array(*[F.struct(F.lit(name).alias("signal"), F.expr(sql).alias("v")) for name, sql, _, _ in SIGNALS]))
+    values = F.explode(F.array(*[F.struct(F.lit(name).alias("signal"), F.expr(sql).alias("v")) for name, sql, _ in SIGNALS]))
     df = df.select("lang", "source", values.alias("x")).select("lang", "source", "x.signal", F.col("x.v").alias("v"))
     df = df.withColumn("e", F.expr("greatest(length(bin(v)) - 5, 0)"))
     return df.groupBy("lang", "source", "signal", F.expr("CAST(e * 16 + shiftright(v, e) AS BIGINT)").alias("bucket")).agg(F.count("*").alias("n"))
@@ -69,13 +77,16 @@ def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
     merged = sketch.groupBy(*by, "signal", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*by, "signal")
     run = merged.withColumns({"upto": F.sum("n").over(w.orderBy("bucket")), "size": F.sum("n").over(w)})
-    value = F.expr("CASE WHEN bucket < 32 THEN bucket ELSE shiftleft(bucket % 16 + 16, CAST(bucket DIV 16 - 1 AS INT)) END")
-    quart = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("size") * q, value))
-    found = run.groupBy(*by, "signal").agg(F.max("size").alias("size"), quart(1).alias("q1"), quart(3).alias("q3"))
+    start, end = F.expr(START.format(b="bucket")), F.expr(START.format(b="(bucket + 1)")) - 1
+    at = lambda part, of, value: F.min(F.when(F.col("upto") * of >= F.col("size") * part, value))
+    found = run.groupBy(*by, "signal").agg(
+        F.max("size").alias("size"), at(1, TAIL, start).alias("p1"), at(1, 10, start).alias("p10"), at(1, 2, start).alias("low"), at(1, 2, end).alias("high"), at(9, 10, end).alias("p90"), at(TAIL - 1, TAIL, end).alias("p99"),
+    )
+    hi, lo = F.greatest("p99", F.col("low") + FENCE * (F.col("p90") - F.col("low"))), F.least("p1", F.col("high") - FENCE * (F.col("high") - F.col("p10")))
     out = []
-    for name, _, least, low in SIGNALS:
-        far, here = FENCE * F.greatest(F.col("q3") - F.col("q1"), F.lit(least)), F.col("signal") == name
-        out += [F.max(F.when(here, F.col("q3") + far)).alias(f"{name}_hi")] + [F.max(F.when(here, F.col("q1") - far)).alias(f"{name}_lo")] * low
+    for name, _, below in SIGNALS:
+        here = F.col("signal") == name
+        out += [F.max(F.when(here, hi)).alias(f"{name}_hi")] + [F.max(F.when(here, lo)).alias(f"{name}_lo")] * below
     return found.groupBy(*by).agg(F.max("size").alias("size"), *out)
 
 
@@ -84,15 +95,15 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     docs = docs.select(F.col(key), F.col(text), F.col(lang).alias("lang"), F.col(source).alias("source"))
     counts = written(with_counts(docs, key, text, "lang", "source"), "quality")
     sketch = written(sketches(counts), "quality-sketch")
-    names = [f"{name}_{end}" for name, _, _, low in SIGNALS for end in ("hi", *["lo"] * low)]
-    fine = fences(sketch, ["lang", "source"]).filter(F.col("size") >= MIN_GROUP)
-    mid = fences(sketch, ["lang"]).filter(F.col("size") >= MIN_GROUP)
+    names = [f"{name}_{end}" for name, _, low in SIGNALS for end in ("hi", *["lo"] * low)]
+    fine = fences(sketch, ["lang", "source"]).filter(F.col("size") >= TAIL)
+    mid = fences(sketch, ["lang"]).filter(F.col("size") >= TAIL)
     near = lambda f, by, p: f.select(*[F.col(b).alias(f"{p}_{b}") for b in by], *[F.col(n).alias(f"{p}_{n}") for n in names])
     df = counts.join(near(fine, ["lang", "source"], "f"), F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
     df = df.join(near(mid, ["lang"], "m"), F.col("lang").eqNullSafe(F.col("m_lang")), "left")
     whole = fences(sketch, []).first() or dict.fromkeys(names)  # one row
     bad = F.lit(False)
-    for name, sql, _, low in SIGNALS:
+    for name, sql, low in SIGNALS:
         fence = lambda end, name=name: F.coalesce(*[F.col(f"{p}_{name}_{end}") for p in "fm"], F.lit(whole[f"{name}_{end}"]).cast("bigint"))
         bad = bad | (F.expr(sql) > fence("hi"))
         if low:
@@ -103,19 +114,22 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 def oracle_sql() -> str:
     """The same rows in DuckDB SQL."""
-    names = [(name, sql.replace("DIV", "//"), least, low) for name, sql, least, low in SIGNALS]
-    long = " UNION ALL ".join(f"SELECT lang, source, '{name}' AS signal, {sql} AS v FROM counts" for name, sql, _, _ in names)
+    names = [(name, sql.replace("DIV", "//"), low) for name, sql, low in SIGNALS]
+    long = " UNION ALL ".join(f"SELECT lang, source, '{name}' AS signal, {sql} AS v FROM counts" for name, sql, _ in names)
+    start = lambda b: f"CASE WHEN {b} < 32 THEN {b} ELSE ({b} % 16 + 16) << ({b} // 16 - 1) END"
 
     def level(at: str, by: str) -> str:
         keys, part = (f"{by}, ", f"PARTITION BY {by}, signal") if by else ("", "PARTITION BY signal")
-        ends = ", ".join(f"max(q3 + {FENCE} * greatest(q3 - q1, {least})) FILTER (signal = '{name}') AS {name}_hi" + f", max(q1 - {FENCE} * greatest(q3 - q1, {least})) FILTER (signal = '{name}') AS {name}_lo" * low for name, _, least, low in names)
+        ends = ", ".join(f"max(greatest(p99, low + {FENCE} * (p90 - low))) FILTER (signal = '{name}') AS {name}_hi" + f", max(least(p1, high - {FENCE} * (high - p10))) FILTER (signal = '{name}') AS {name}_lo" * low for name, _, low in names)
+        quantile = lambda value, q, of, name: f"min({value}) FILTER (upto * {of} >= size * {q}) AS {name}"
+        found = ", ".join(quantile(*x) for x in (("first", 1, TAIL, "p1"), ("first", 1, 10, "p10"), ("first", 1, 2, "low"), ("last", 1, 2, "high"), ("last", 9, 10, "p90"), ("last", TAIL - 1, TAIL, "p99")))
         return f"""{at}_m AS (SELECT {keys}signal, bucket, sum(n) AS n FROM sketch GROUP BY {keys}signal, bucket),
-{at}_r AS (SELECT {keys}signal, CASE WHEN bucket < 32 THEN bucket ELSE (bucket % 16 + 16) << (bucket // 16 - 1) END AS value, sum(n) OVER ({part} ORDER BY bucket) AS upto, sum(n) OVER ({part}) AS size FROM {at}_m),
-{at}_q AS (SELECT {keys}signal, max(size) AS size, min(value) FILTER (upto * 4 >= size) AS q1, min(value) FILTER (upto * 4 >= size * 3) AS q3 FROM {at}_r GROUP BY {keys}signal),
+{at}_r AS (SELECT {keys}signal, {start('bucket')} AS first, {start('(bucket + 1)')} - 1 AS last, sum(n) OVER ({part} ORDER BY bucket) AS upto, sum(n) OVER ({part}) AS size FROM {at}_m),
+{at}_q AS (SELECT {keys}signal, max(size) AS size, {found} FROM {at}_r GROUP BY {keys}signal),
 {at} AS (SELECT {keys}max(size) AS size, {ends} FROM {at}_q {f'GROUP BY {by}' if by else ''})"""
 
     fence = lambda name, end: f"coalesce(f.{name}_{end}, m.{name}_{end}, a.{name}_{end})"
-    bad = " OR ".join(f"{sql} > {fence(name, 'hi')}" + f" OR {sql} < {fence(name, 'lo')}" * low for name, sql, _, low in names)
+    bad = " OR ".join(f"{sql} > {fence(name, 'hi')}" + f" OR {sql} < {fence(name, 'lo')}" * low for name, sql, low in names)
     failed = "(n_words < 50 OR 100 * n_repeat_words > 50 * n_words)"
     return rf"""
 WITH split AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
@@ -130,5 +144,5 @@ long AS ({long}),
 sketch AS (SELECT lang, source, signal, e * 16 + (v >> e) AS bucket, count(*) AS n FROM (SELECT *, greatest(length(bin(v)) - 5, 0) AS e FROM long) GROUP BY ALL),
 {level('f', 'lang, source')}, {level('m', 'lang')}, {level('a', '')}
 SELECT c.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed, NOT {failed} AND NOT ({bad}) AS kept
-FROM counts c LEFT JOIN f ON c.lang IS NOT DISTINCT FROM f.lang AND c.source IS NOT DISTINCT FROM f.source AND f.size >= {MIN_GROUP}
-LEFT JOIN m ON c.lang IS NOT DISTINCT FROM m.lang AND m.size >= {MIN_GROUP} CROSS JOIN a"""
+FROM counts c LEFT JOIN f ON c.lang IS NOT DISTINCT FROM f.lang AND c.source IS NOT DISTINCT FROM f.source AND f.size >= {TAIL}
+LEFT JOIN m ON c.lang IS NOT DISTINCT FROM m.lang AND m.size >= {TAIL} CROSS JOIN a"""
