@@ -22,8 +22,9 @@ from .common import written
 
 PRIME = 2**31 - 1
 SHARDS = 40
-#: Slots are numbered within bins of a shard; the bins' first slots are a table of at most shards * BINS rows.
-BINS = 1024
+#: Slots are numbered within bins of a shard; the bins' first slots are a table of at most shards * BINS rows. Equal rows are
+#: spread again RUN at a time.
+BINS, RUN = 1024, 100_000
 
 
 def coefficients(shard: int) -> tuple[int, int]:
@@ -58,8 +59,9 @@ def with_shard(df: DataFrame, key: str, weights: Sequence[float], out: str = "sh
 def assign_slots(docs: DataFrame, key: str = "doc_id", text: str = "text", weights: Sequence[float] = (1.0,) * SHARDS) -> DataFrame:
     """A row for each row of docs: key, size, text_crc32, law, shard, grown_shard, and slot, gapless from 0 within the shard.
 
-    Equal rows are counted before they are shuffled, and numbered by spreading each count again, so neither a hot key nor a
-    large shard lands in one task; the numbering follows (bin, key, CRC, size).
+    Equal rows are counted before they are shuffled, and numbered by spreading each count again, in runs of RUN rows at most,
+    which are dealt out where there is more than one; so neither a hot key nor a large shard lands in one task or in one
+    row. The numbering follows (bin, key, CRC, size).
     """
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select(F.col(key), (F.octet_length(raw) + 16).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32"))
@@ -70,8 +72,13 @@ def assign_slots(docs: DataFrame, key: str = "doc_id", text: str = "text", weigh
     within = Window.partitionBy("shard", "__bin").orderBy(key, "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumn("__from", F.coalesce(F.sum("__n").over(within), F.lit(0)))
     placed = placed.join(F.broadcast(bins), ["shard", "__bin"])  # at most shards * BINS rows of 20 bytes
-    first = F.col("__first") + F.col("__from")
-    return placed.select(key, "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int"), F.explode(F.sequence(first, first + F.col("__n") - 1)).alias("slot"), F.col("grown_shard").cast("int"))
+    placed = placed.withColumn("__first", F.col("__first") + F.col("__from"))
+    upto = F.col("__first") + F.col("__n")
+    if (counted.agg(F.max("__n")).first()[0] or 0) > RUN:
+        runs = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__n") - 1) / RUN)))
+        placed = placed.withColumn("__upto", upto).withColumn("__run", runs).withColumn("__first", F.col("__first") + F.col("__run") * RUN)
+        placed, upto = placed.repartition("shard", "__bin", "__run"), F.least("__upto", F.col("__first") + RUN)
+    return placed.select(key, "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int"), F.explode(F.sequence(F.col("__first"), upto - 1)).alias("slot"), F.col("grown_shard").cast("int"))
 
 
 def oracle_sql(shards: int = SHARDS) -> str:
