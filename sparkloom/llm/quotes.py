@@ -7,8 +7,10 @@ one space) and hashed; the original of a quoted passage is the first message of
 own, if that message is earlier. A message replies to the latest original of its passages of the least quoted level.
 
 Messages of a conversation are ordered as a tree: thread_key is the path of turns from the conversation's root message to
-this one, so that sorting by it puts each reply after its parent. Paths are made by doubling, as many joins as the logarithm
-of the deepest chain. No conversation is gathered: originals are aggregated by (conversation, hash).
+this one, so that sorting by it puts each reply after its parent (negative turns first); its length is a message's depth
+times a key's. Paths are made by doubling, as many joins as the logarithm of the deepest chain; a path that has reached its
+root leaves the joins, so a first message that very many answer is no hot key there, and in the join that finds out who has
+reached it, keys are salted. No conversation is gathered: originals are aggregated by (conversation, hash).
 
 Defined results: a null text is empty; a message without own lines has an empty body; a null turn or conversation never is
 an original; rows that repeat a (conversation, turn) each get a row, with the parent that any of them has (the latest); an
@@ -17,12 +19,18 @@ empty table gives an empty result; further columns are not looked at.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
-DIGITS = 19
+DIGITS, SALT = 19, 16
+
+
+def key_of(turn: Column) -> Column:
+    """A turn as a text that sorts like it."""
+    negative = (turn.cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")).cast("decimal(20,0)").cast("string")
+    return F.when(turn < 0, F.concat(F.lit("-"), F.lpad(negative, DIGITS, "0"))).otherwise(F.lpad(turn.cast("string"), DIGITS, "0"))
 
 
 def passages(messages: DataFrame, conv: str, turn: str, text: str) -> DataFrame:
@@ -54,25 +62,27 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: s
     paths = _paths(parents.select("conv_id", "turn", "parent_turn"))
     known = parents.join(paths, ["conv_id", "turn"], "left")
     out = df.join(known, ["conv_id", "turn"], "left")
-    key = lambda t: F.lpad(t.cast("string"), DIGITS, "0")
     return out.select(
         "conv_id", "turn", "role", "body", F.size(F.filter("passages", lambda p: p["level"] > 0)).cast("bigint").alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"), "parent_turn",
-        F.coalesce("root", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth"), F.coalesce(F.concat_ws("/", "path", key(F.col("turn"))), key(F.col("turn"))).alias("thread_key"),
+        F.coalesce("root", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth"), F.coalesce(F.concat_ws("/", "path", key_of(F.col("turn"))), key_of(F.col("turn"))).alias("thread_key"),
     )
 
 
 def _paths(edges: DataFrame) -> DataFrame:
     """conv_id, turn, root, depth, path (the ancestors' keys, root first) of every message with a parent."""
-    key = lambda t: F.lpad(F.col(t).cast("string"), DIGITS, "0")
-    at = edges.select("conv_id", "turn", F.col("parent_turn").alias("root"), F.lit(1).cast("bigint").alias("depth"), key("parent_turn").alias("path"))
-    while True:  # each round doubles how far a path reaches
-        up = at.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("r2"), F.col("depth").alias("d2"), F.col("path").alias("p2"))
-        joined = at.join(up, ["conv_id", "root"], "left")
-        at = written(joined.select("conv_id", "turn", F.coalesce("r2", "root").alias("root"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.concat_ws("/", "p2", "path").alias("path"), F.col("r2").isNotNull().alias("moved")), "quotes-paths")
-        if not at.filter("moved").limit(1).count():
-            return at.drop("moved")
-        at = at.drop("moved")
+    salt = F.pmod(F.xxhash64("turn"), F.lit(SALT)).cast("int")
+    replies = edges.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("s"))
+    at = edges.select("conv_id", "turn", F.col("parent_turn").alias("root"), F.lit(1).cast("bigint").alias("depth"), key_of(F.col("parent_turn")).alias("path"))
+    at = at.withColumn("s0", salt).join(replies, (F.col("conv_id") == F.col("c")) & (F.col("root") == F.col("t")) & (F.col("s0") == F.col("s")), "left")
+    at = written(at.select("conv_id", "turn", "root", "depth", "path", F.col("t").isNotNull().alias("open")), "quotes-paths")
+    while at.filter("open").limit(1).count():  # each round doubles how far an open path reaches
+        up = at.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("r2"), F.col("depth").alias("d2"), F.col("path").alias("p2"), F.col("open").alias("o2"))
+        longer = at.filter("open").join(up, ["conv_id", "root"]).select("conv_id", "turn", F.col("r2").alias("root"), (F.col("depth") + F.col("d2")).alias("depth"), F.concat_ws("/", "p2", "path").alias("path"), F.col("o2").alias("open"))
+        at = written(at.filter("NOT open").union(longer), "quotes-paths")
+    return at.drop("open")
+
 
+_KEY = f"CASE WHEN {{t}} < 0 THEN '-' || lpad(CAST(CAST({{t}} AS HUGEINT) + CAST('9223372036854775808' AS HUGEINT) AS VARCHAR), {DIGITS}, '0') ELSE lpad(CAST({{t}} AS VARCHAR), {DIGITS}, '0') END"
 
 ORACLE_SQL = rf"""
 WITH RECURSIVE lines0 AS (SELECT row_number() OVER () AS r, conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS l FROM conversations),
@@ -85,9 +95,9 @@ ps AS (SELECT r, conv_id, turn, level, md5(trim(regexp_replace(lower(string_agg(
 origins AS (SELECT conv_id, hash, min(turn) AS origin FROM ps WHERE level = 0 AND turn IS NOT NULL GROUP BY conv_id, hash),
 linked AS (SELECT DISTINCT p.conv_id, p.turn, p.level, p.hash, o.origin FROM ps p JOIN origins o USING (conv_id, hash) WHERE p.level > 0 AND o.origin < p.turn),
 parents AS (SELECT conv_id, turn, arg_max(origin, (-level) * 1000000 + origin) AS parent_turn, count(DISTINCT hash) AS n_linked FROM linked GROUP BY conv_id, turn),
-paths AS (SELECT conv_id, turn, parent_turn AS root, 1 AS depth, lpad(CAST(parent_turn AS VARCHAR), {DIGITS}, '0') AS path FROM parents
-  UNION ALL SELECT p.conv_id, p.turn, q.parent_turn, p.depth + 1, lpad(CAST(q.parent_turn AS VARCHAR), {DIGITS}, '0') || '/' || p.path FROM paths p JOIN parents q ON p.conv_id = q.conv_id AND p.root = q.turn),
+paths AS (SELECT conv_id, turn, parent_turn AS root, 1 AS depth, {_KEY.format(t='parent_turn')} AS path FROM parents
+  UNION ALL SELECT p.conv_id, p.turn, q.parent_turn, p.depth + 1, ({_KEY.format(t='q.parent_turn')}) || '/' || p.path FROM paths p JOIN parents q ON p.conv_id = q.conv_id AND p.root = q.turn),
 full_paths AS (SELECT conv_id, turn, max(depth) AS depth, arg_max(root, depth) AS root, arg_max(path, depth) AS path FROM paths GROUP BY conv_id, turn)
 SELECT m.conv_id, m.turn, m.role, b.body, CAST((SELECT count(*) FROM ps WHERE ps.r = m.r AND level > 0) AS BIGINT) AS n_quoted, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, parent_turn, coalesce(root, m.turn) AS root_turn,
-  CAST(coalesce(f.depth, 0) AS BIGINT) AS depth, concat_ws('/', f.path, lpad(CAST(m.turn AS VARCHAR), {DIGITS}, '0')) AS thread_key
+  CAST(coalesce(f.depth, 0) AS BIGINT) AS depth, concat_ws('/', f.path, {_KEY.format(t='m.turn')}) AS thread_key
 FROM lines0 m JOIN bodies b USING (r) LEFT JOIN parents p ON p.conv_id = m.conv_id AND p.turn = m.turn LEFT JOIN full_paths f ON f.conv_id = m.conv_id AND f.turn = m.turn"""
