@@ -29,7 +29,7 @@ RULES = {
     "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 16),
     "hex": (re.compile(r"[0-9a-f]{32,}"), 0, 32),  # the runs of 32 and more among all runs
     "pem": (re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----"), 0, 0),
-    "jwt": (re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), 0, 32),
+    "jwt": (re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]+"), 0, 32),
     "forge": (re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}"), 0, 40),
 }
 BASE = ("assign", "access", "hex")
@@ -51,9 +51,9 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def scan(docs: DataFrame, text: str = "text", ledger: str | None = None) -> DataFrame:
     """docs with __findings, all spans of each row's text. ledger: the table's folder, made or extended; None: a new one.
 
-    Only keys are grouped: equal texts meet as (blob, first row) pairs, combined before the shuffle. Texts that are to be
-    scanned are taken by a semi-join on the first row's key, which is unique, so a hot blob isn't a hot key. Findings that
-    aren't empty are few; the join back leaves the texts where they are if Spark finds those small enough to broadcast.
+    Texts travel once, to their blob's name, where equal ones become one; a task merges its own before it sends them, so a blob
+    that a third of all rows hold arrives once for each task. Findings that aren't empty are few; the join back leaves the
+    texts where they are if Spark finds those small enough to broadcast.
     """
     spark = docs.sparkSession
     ledger = ledger or new_path(spark, "ledger")
