@@ -9,8 +9,9 @@ segment place) at most k apart. So the q-grams' hits are counted, for the segmen
 with fewer hits than the lemma asks are left, and in the rest a banded alignment finds the least edits. An item's segment
 within its budget marks the document.
 
-The benchmark is a stated query set: its index is broadcast in blocks of at most BLOCK characters, one pass over the
-documents for each, and documents aren't shuffled.
+The benchmark is a stated query set: its index is broadcast in blocks of about BLOCK characters (some 100 bytes a character),
+one pass over the documents for each, and documents aren't shuffled. With more than one block, what a pass finds or keeps is
+written and its index released before the next is made, so one index is held at a time.
 
 An item shorter than LEAST normalised characters is held where it stands whole, without an edit, between word borders.
 
@@ -29,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release
+from .common import release, written
 
 Q, EDITS, LEAST = 8, 0.1, 30
 SEGMENT, STRIDE, WINDOW = 96, 8, 32
 #: Diagonals of half a band; more than the edits of the longest segment.
 BAND = 16
 #: Characters of one block of the benchmark, and of documents that are looked at together.
-BLOCK, TOGETHER = 16_000_000, 1_000_000
+BLOCK, TOGETHER = 1_500_000, 1_000_000
 SCHEMA = "doc_id bigint, item_id bigint, start bigint, end bigint, n_segments bigint, n_matched bigint, edits bigint"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BITS = np.uint64(64 - 22)
@@ -133,9 +134,9 @@ class Index:
             self.need = self.need - np.bincount(seg[out], minlength=len(self.need))
             flat, seg, off = flat[~out], seg[~out], off[~out]
         order = np.argsort(flat, kind="stable")
-        self.seg, self.off = seg[order], off[order]
-        self.keys, self.first = np.unique(flat[order], return_index=True)
-        self.count = np.diff(np.append(self.first, len(flat)))
+        self.seg, self.off = seg[order].astype(np.int32), off[order].astype(np.int16)
+        self.keys, first = np.unique(flat[order], return_index=True)
+        self.first = np.append(first, len(flat)).astype(np.int32)
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[self.keys >> _BITS] = True
 
@@ -185,9 +186,9 @@ class Index:
         place = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
         real = self.keys[place] == h[at]
         at, place = at[real], place[real]
-        n = self.count[place]
+        n = (self.first[place + 1] - self.first[place]).astype(np.int64)
         which = np.repeat(self.first[place] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-        seg = self.seg[which]
+        seg = self.seg[which].astype(np.int64)
         band = (np.repeat(at, n) - self.off[which]) // BAND + 64  # never below 0
         wide = np.int64(1) << np.int64(32)
         key, hits = np.unique(seg * wide + band, return_counts=True)
@@ -295,22 +296,32 @@ def _clean(index, at: int):
 
 
 def _indexes(docs: DataFrame, benchmark: DataFrame, item: str, item_text: str, block: int) -> Iterator:
-    """The benchmark's blocks, each an index that every executor has."""
+    """The benchmark's blocks, each an index that every executor has, and whether it is the only one."""
     items = benchmark.select(F.col(item).cast("bigint").alias("item"), F.col(item_text).alias("text")).filter(F.col("text").isNotNull()).distinct()
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-size // block) or 1
     for b in range(n):
         own = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b).orderBy("item", "text").collect()  # about block characters
-        yield docs.sparkSession.sparkContext.broadcast(Index([(r["item"], r["text"]) for r in own]))
+        yield docs.sparkSession.sparkContext.broadcast(Index([(r["item"], r["text"]) for r in own])), n == 1
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
     """A row for each document row and item of which it holds a segment: SCHEMA; start and end are code points of the text."""
-    own = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return reduce(DataFrame.union, [own.mapInArrow(_pass(i), SCHEMA) for i in _indexes(docs, benchmark, item, item_text, block)])
+    own, found = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")), []
+    for index, only in _indexes(docs, benchmark, item, item_text, block):
+        rows = own.mapInArrow(_pass(index), SCHEMA)
+        found.append(rows if only else written(rows, "leaks"))
+        if not only:
+            index.destroy()
+    return reduce(DataFrame.union, found)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
     """The rows of docs that hold no segment, with all their columns."""
-    at = docs.columns.index(text)
-    return reduce(lambda df, i: df.mapInArrow(_clean(i, at), docs.schema), _indexes(docs, benchmark, item, item_text, block), docs)
+    at, kept = docs.columns.index(text), docs
+    for index, only in _indexes(docs, benchmark, item, item_text, block):
+        kept = kept.mapInArrow(_clean(index, at), docs.schema)
+        if not only:
+            kept = written(kept, "without-leaks")
+            index.destroy()
+    return kept
