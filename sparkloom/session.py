@@ -61,6 +61,7 @@ class Engine:
         self.views: dict[str, str] = {}
         self.mats: dict[str, MaterializedView] = {}
         self._views_open: list[str] = []
+        self._passing: list[str] = []  # temporary views of inlined views, until the query that names them is a DataFrame
         self._id = uuid.uuid4().hex[:12]
         self._n = 0
         self.warnings: list[str] = []
@@ -114,10 +115,11 @@ class Engine:
                 raise DialectError(f"view {name} refers to itself")
             self._views_open.append(key)
             try:
-                q, compiler = self._compile(parse(self.views[key]))
+                df = self._frame(parse(self.views[key]))
             finally:
                 self._views_open.pop()
-            return self._temp(self._frame(q))
+            self._passing.append(self._temp(df))
+            return self._passing[-1]
         if key in self.mats:
             if not self.mats[key].populated:
                 raise DialectError(f"materialized view {name} has no data; REFRESH it")
@@ -134,9 +136,21 @@ class Engine:
         compiler = Compiler(self.spark, self._load, self.strict, self.asof_bins)
         return compiler.compile(q), compiler
 
-    def _frame(self, q: Query) -> DataFrame:
-        df = self.spark.sql(q.sql)
-        names = Compiler._unique([n for n, _ in q.columns])
+    def _resolved(self, q: object, only_checked: bool = False) -> tuple[DataFrame | None, Query]:
+        """A parsed query as a DataFrame; the temporary views on the way are dropped, for a DataFrame holds their plans."""
+        mark = len(self._passing)
+        try:
+            compiled, compiler = self._compile(q)
+            df = None if only_checked else self.spark.sql(compiled.sql)
+            compiler.close()
+        finally:
+            while len(self._passing) > mark:
+                self.spark.catalog.dropTempView(self._passing.pop())
+        return df, compiled
+
+    def _frame(self, q: object) -> DataFrame:
+        df, compiled = self._resolved(q)
+        names = Compiler._unique([n for n, _ in compiled.columns])
         return df.toDF(*names) if names != df.columns else df
 
     def query(self, text: str) -> DataFrame:
@@ -144,7 +158,7 @@ class Engine:
         q = parse(text)
         if isinstance(q, T.Statement):
             raise DialectError("not a query")
-        return self.spark.sql(self._compile(q)[0].sql)
+        return self._resolved(q)[0]
 
     def sql_of(self, text: str) -> str:
         """The Spark SQL of a query."""
@@ -153,8 +167,8 @@ class Engine:
     def execute(self, text: str) -> Result:
         s = parse(text)
         if not isinstance(s, T.Statement):
-            q, _ = self._compile(s)
-            return Result(self.spark.sql(q.sql), columns=q.columns)
+            df, q = self._resolved(s)
+            return Result(df, columns=q.columns)
         return Result(notice=getattr(self, "_" + s.action.replace(" ", "_"))(s))
 
     def explain(self, text: str, mode: str = "formatted") -> str:
@@ -177,7 +191,7 @@ class Engine:
         old = self.views.get(key)
         self._views_open.append(key)
         try:
-            self._compile(parse(s.text))
+            self._resolved(parse(s.text), only_checked=True)
         finally:
             self._views_open.pop()
         self.views[key] = s.text
@@ -209,12 +223,12 @@ class Engine:
         return f"materialized view {s.name} created" + ("" if s.data else " without data")
 
     def _definition(self, text: str) -> DataFrame:
-        q, _ = self._compile(parse(text))
+        df, q = self._resolved(parse(text))
         names = [n.rsplit(".", 1)[-1] for n, _ in q.columns]
         low = [n.lower() for n in names]
         if twice := next((n for n in names if low.count(n.lower()) > 1), None):
             raise DialectError(f"column {twice} stands twice; name one of them with AS")
-        return self.spark.sql(q.sql).toDF(*names)
+        return df.toDF(*names)
 
     def _fill(self, m: MaterializedView, df: DataFrame) -> None:
         if m.path:

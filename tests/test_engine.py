@@ -78,3 +78,13 @@ def test_a_failed_persist_leaves_nothing(e, spark, tmp_path):
     with pytest.raises(Exception):
         Engine(spark, base=str(tmp_path), store="/proc/nowhere").execute("CREATE PERSISTENT MATERIALIZED VIEW q AS SELECT 1 AS x")
     assert "q" not in e.names()
+
+
+def test_temporary_views_go_when_a_query_is_resolved(engine, spark):
+    engine.register("t", spark.range(5).withColumnRenamed("id", "x"))
+    engine.execute("CREATE VIEW a AS SELECT x FROM t WHERE x > 1")
+    engine.execute("CREATE VIEW b AS WITH w AS (SELECT x FROM a) SELECT w.x FROM w JOIN a ON w.x = a.x")
+    before = {v.name for v in spark.catalog.listTables() if v.isTemporary}
+    df = engine.query("WITH c AS (SELECT x FROM b) SELECT c.x FROM c JOIN a ON c.x = a.x JOIN b ON b.x = a.x ORDER BY c.x")
+    assert {v.name for v in spark.catalog.listTables() if v.isTemporary} == before
+    assert [r[0] for r in df.collect()] == [2, 3, 4]
