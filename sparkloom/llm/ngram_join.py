@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, written
+from .common import batches_of, release, written
 from .graph import components
 
 SHINGLE = 5
@@ -51,12 +51,13 @@ SHINGLE = 5
 BITS = 56
 #: The similarity, as a fraction.
 OVER, UNDER = 75, 100
-#: Words that a task works on together; nodes there from which a shingle counts as heavy; shingles of a bucket.
-FLUSH, HEAVY, BUCKET, PARTITIONS = 1_200_000, 32, 2_000_000, 20_000
+#: Words that a task works on together; nodes there from which a shingle counts as heavy; shingles of a partition, the most
+#: shuffle partitions, the parts in which one is opened, and pairs that it sends on together.
+FLUSH, HEAVY, PARTITION, PARTITIONS, PARTS, TOGETHER = 1_200_000, 32, 4_000_000, 20_000, 4, 1_000_000
 #: The most matches asked for; a verification's cost in postings; the order of heavy shingles.
 MOST, VERIFY, LAST = 5, 40, (1 << 31) - 1
-#: Nodes from which a shingle is frequent in the last step, and shingles of a block there.
-FREQUENT, WEIGHT = 24, 1_000_000
+#: Nodes from which a shingle is frequent in the last step, shingles of a block there, and for how many a node counts besides its own.
+FREQUENT, WEIGHT, NODE_WEIGHT = 24, 1_000_000, 50
 NO_ID = (1 << 63) - 1
 COLUMNS = "doc_id bigint, tag bigint, node bigint, n bigint, u bigint, l int, prefix array<bigint>, shingles array<bigint>"
 
@@ -84,9 +85,9 @@ def shingle_hashes(h: np.ndarray) -> np.ndarray:
     return x >> np.uint64(64 - BITS)
 
 
-def place_of(tok: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of each shingle: ranges of hashes, which leave small differences."""
-    return ((tok >> np.uint64(BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def place_of(tok: np.ndarray, places: int) -> np.ndarray:
+    """The place of each shingle among so many ranges of hashes: in order, and with small differences within."""
+    return ((tok >> np.uint64(BITS - 32)) * np.uint64(places) >> np.uint64(32)).astype(np.int64)
 
 
 def planes(a: np.ndarray) -> bytes:
@@ -123,11 +124,47 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["kind", "bucket", "block"])
 
 
-#: Kinds of blocks. DOC: doc_id, null or not, tag, node, n. PAIR: shingles, nodes, heavy shingles. NODE: node, shingle, order; and node, n.
+#: Kinds of blocks. DOC: doc_id, null or not, tag, node, n. PAIR: see pairs_out. NODE: node, shingle, order; and node, n.
 DOC, PAIR, NODE = 0, 1, 2
 
 
-def _send(buckets: int):
+def edges_of(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin in x, and its end."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])) if len(x) else np.zeros(1, np.int64)
+
+
+def pairs_out(blocks: Blocks, tok: np.ndarray, ref: np.ndarray, names: np.ndarray, top: np.ndarray, places: int) -> Iterator[tuple[int, bytes]]:
+    """Pairs (shingle, node) as one block for each partition of shingles: its nodes once, then each of its PARTS by itself.
+
+    tok is sorted, and top (heavy shingles, which come without nodes) too; ref points into names, which are sorted.
+    """
+    at, top_at = place_of(tok, places * PARTS), place_of(top, places * PARTS)
+    for p in np.union1d(at // PARTS, top_at // PARTS).tolist():
+        bounds = np.arange(p * PARTS, (p + 1) * PARTS + 1)
+        cut, top_cut = np.searchsorted(at, bounds), np.searchsorted(top_at, bounds)
+        used, own = np.unique(ref[cut[0] : cut[-1]], return_inverse=True)
+        parts = [blocks.dump((names[used], True))]
+        for x, y, i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), top_cut[:-1].tolist(), top_cut[1:].tolist(), strict=True):
+            parts.append(blocks.dump((tok[x:y], True), (own[x - cut[0] : y - cut[0]], False), (top[i:j], True)) if y > x or j > i else b"")
+        yield p, b"".join([np.array([len(b) for b in parts], "<i4").tobytes(), *parts])
+
+
+def pairs_in(blocks: Blocks, held: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Shingles, nodes and heavy shingles of a partition's blocks, part by part."""
+    ends = [np.cumsum(np.append(4 * (PARTS + 1), np.frombuffer(b, "<i4", PARTS + 1))) for b in held]
+    names = [blocks.load(b[e[0] : e[1]], True)[0] for b, e in zip(held, ends, strict=True)]
+    for part in range(1, PARTS + 1):
+        tok, own, top = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for b, e, n in zip(held, ends, names, strict=True):
+            if e[part + 1] > e[part]:
+                t, ref, heavy = blocks.load(b[e[part] : e[part + 1]], True, False, True)
+                tok.append(t)
+                own.append(n[ref.astype(np.int64)])
+                top.append(heavy)
+        yield np.concatenate(tok), np.concatenate(own), np.unique(np.concatenate(top))
+
+
+def _send(places: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, blocks = _Hashes(), Blocks()
         ids: list[int | None] = []
@@ -139,38 +176,25 @@ def _send(buckets: int):
 
         def flush() -> pa.RecordBatch:
             rows = []
-            place = (len(ids) * 2654435761 + sum(nodes[:3])) % buckets
+            place = (len(ids) * 2654435761 + sum(nodes[:3])) % places
             known = np.array([0 if i is None else i for i in ids], np.int64).astype(np.uint64)
             rows.append((DOC, place, blocks.dump((known, False), (np.array([i is not None for i in ids]), False), (np.array(tags, np.int64).astype(np.uint64), False), (np.array(nodes, np.int64).astype(np.uint64), False), (np.array(sizes, np.int64), False))))
             if sets:
                 names = np.array(list(sets), np.int64).astype(np.uint64)
-                lengths = np.array([len(s) for s in sets.values()])
-                tok, own = np.concatenate(list(sets.values())), np.repeat(names, lengths)
+                own = list(sets.values())
+                turn = np.argsort(names)
+                names, own = names[turn], [own[i] for i in turn.tolist()]
+                lengths = np.array([len(s) for s in own])
+                tok, ref = np.concatenate(own), np.repeat(np.arange(len(own), dtype=np.int32), lengths)
                 order = np.argsort(tok, kind="stable")
-                tok, own = tok[order], own[order]
-                first = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
-                count = np.diff(np.append(first, len(tok)))
+                tok, ref = tok[order], ref[order]
+                first = edges_of(tok)
+                count = np.diff(first)
                 heavy = count >= HEAVY
                 shown = np.repeat(heavy, count)
-                at = place_of(tok, buckets)
-                rest, top = ~shown, tok[first[heavy]]
-                by, top_by = at[rest], place_of(top, buckets)
-                t, o = tok[rest], own[rest]
-                turn = np.argsort(by, kind="stable")
-                t, o, by = t[turn], o[turn], by[turn]
-                for b in np.union1d(by, top_by).tolist():
-                    x, y = np.searchsorted(by, [b, b + 1])
-                    used, ref = np.unique(o[x:y], return_inverse=True)
-                    rows.append((PAIR, b, blocks.dump((t[x:y], True), (ref, False), (used, True), (top[top_by == b], False))))
-                # nodes' sizes, and their heavy shingles, go to the nodes' buckets
-                t, o, home = tok[shown], own[shown], (names % np.uint64(buckets)).astype(np.int64)
-                by = (o % np.uint64(buckets)).astype(np.int64)
-                turn = np.lexsort((t, o, by))
-                t, o, by = t[turn], o[turn], by[turn]
-                for b in np.unique(home).tolist():
-                    x, y = np.searchsorted(by, [b, b + 1])
-                    mine = home == b
-                    rows.append((NODE, b, blocks.dump((o[x:y], True), (t[x:y], False), (np.full(y - x, LAST), False), (names[mine], False), (lengths[mine], False))))
+                rows += [(PAIR, p, b) for p, b in pairs_out(blocks, tok[~shown], ref[~shown], names, tok[first[:-1][heavy]], places)]
+                # nodes' sizes, and their heavy shingles, go to the nodes' places
+                rows += _home(blocks, names[ref[shown]], tok[shown], np.full(int(shown.sum()), LAST), names, lengths, places)
             for x in (ids, tags, nodes, sizes, sets):
                 x.clear()
             release()
@@ -195,10 +219,26 @@ def _send(buckets: int):
                     words = 0
         if ids:
             yield flush()
+        hashes.clear()
+        release()
 
     return run
 
 
+def _home(blocks: Blocks, own: np.ndarray, tok: np.ndarray, rank: np.ndarray, names: np.ndarray, lengths: np.ndarray, places: int) -> list[tuple[int, int, bytes]]:
+    """NODE blocks for the nodes' places: shingles with their order (own, tok, rank), and sizes (names, lengths)."""
+    by, home = (own % np.uint64(places)).astype(np.int64), (names % np.uint64(places)).astype(np.int64)
+    turn = np.lexsort((tok, own, by))
+    own, tok, rank, by = own[turn], tok[turn], rank[turn], by[turn]
+    turn = np.argsort(home, kind="stable")
+    names, lengths, home = names[turn], lengths[turn], home[turn]
+    rows = []
+    for p in np.union1d(by, home).tolist():
+        (x, y), (i, j) = np.searchsorted(by, [p, p + 1]), np.searchsorted(home, [p, p + 1])
+        rows.append((NODE, p, blocks.dump((own[x:y], True), (tok[x:y], False), (rank[x:y], False), (names[i:j], False), (lengths[i:j], False))))
+    return rows
+
+
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[bytes]]]]:
     """Blocks of one bucket by kind; they come sorted by bucket."""
     held: dict[int, list[bytes]] = {}
@@ -214,50 +254,43 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[in
         yield at, held
 
 
-def _count(buckets: int):
-    """How many nodes have each shingle of a bucket; repeated ones go on to their nodes. Other kinds pass."""
+def repeated(t: np.ndarray, o: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (shingle, node), those whose shingle has two nodes or is among top (heavy), and its order."""
+    order = np.argsort(t, kind="stable")
+    t, o = t[order], o[order]
+    first = edges_of(t)
+    keep = np.repeat((np.diff(first) > 1) | np.isin(t[first[:-1]], top), np.diff(first))
+    t, o = t[keep], o[keep]
+    order = np.lexsort((o, t))  # the same node from two tasks counts once
+    t, o = t[order], o[order]
+    once = np.append(True, (t[1:] != t[:-1]) | (o[1:] != o[:-1]))[: len(t)]
+    t, o = t[once], o[once]
+    first = edges_of(t)
+    count = np.diff(first)
+    rank = np.repeat(np.where(np.isin(t[first[:-1]], top), LAST, np.minimum(count, LAST - 1)), count)
+    return t[rank > 1], o[rank > 1], rank[rank > 1]
+
+
+def _count(places: int):
+    """How many nodes have each shingle of a partition; repeated ones go on to their nodes. Other kinds pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = Blocks()
+        blocks, none = Blocks(), np.zeros(0, np.uint64)
         for bucket, held in _by_bucket(batches):
-            yield _batch([(kind, bucket, b) for kind in (DOC, NODE) for b in held.get(kind, ())])
-            if PAIR not in held:
-                continue
-            tok, own, top = [], [], []
-            for b in held.pop(PAIR):
-                t, ref, used, heavy = blocks.load(b, True, False, True, False)
-                tok.append(t)
-                own.append(used[ref.astype(np.int64)] if len(ref) else used[:0])
-                top.append(heavy)
-            t, o, top = np.concatenate(tok), np.concatenate(own), np.unique(np.concatenate(top))
-            order = np.argsort(t, kind="stable")
-            t, o = t[order], o[order]
-            if not len(t):
-                continue
-            first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-            count = np.diff(np.append(first, len(t)))
-            is_top = np.isin(t[first], top)
-            keep = np.repeat((count > 1) | is_top, count)
-            t, o = t[keep], o[keep]
-            if not len(t):
-                continue
-            order = np.lexsort((o, t))  # the same node from two tasks counts once
-            t, o = t[order], o[order]
-            once = np.append(True, (t[1:] != t[:-1]) | (o[1:] != o[:-1]))
-            t, o = t[once], o[once]
-            first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-            count = np.diff(np.append(first, len(t)))
-            is_top = np.isin(t[first], top)
-            rank = np.repeat(np.where(is_top, LAST, np.minimum(count, LAST - 1)), count)
-            keep = rank > 1
-            t, o, rank = t[keep], o[keep], rank[keep]
-            by = (o % np.uint64(buckets)).astype(np.int64)
-            turn = np.lexsort((o, by))
-            t, o, rank, by = t[turn], o[turn], rank[turn], by[turn]
+            yield _batch([(kind, bucket, b) for kind in (DOC, NODE) for b in held.pop(kind, ())])
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            pairs = held.pop(PAIR, [])
+            for part, (t, o, top) in enumerate(pairs_in(blocks, pairs), 1):
+                found.append(repeated(t, o, top))
+                if part == PARTS or sum(len(x[0]) for x in found) >= TOGETHER:
+                    t, o, rank = (np.concatenate(c) for c in zip(*found, strict=True))
+                    found.clear()
+                    if len(t):
+                        yield _batch(_home(blocks, o, t, rank, none, none, places))
+                    del t, o, rank
+                    release()
+            del held, pairs
             release()
-            edges = np.flatnonzero(np.append(True, by[1:] != by[:-1])) if len(by) else np.zeros(0, np.int64)
-            none = np.zeros(0, np.uint64)
-            yield _batch([(NODE, int(by[x]), blocks.dump((o[x:y], True), (t[x:y], False), (rank[x:y], False), (none, False), (none, False))) for x, y in zip(edges, np.append(edges[1:], len(by)), strict=True)])
 
     return run
 
@@ -308,6 +341,8 @@ def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield out(rows)
                 rows = []
         yield out(rows)
+        del held, o, t, rank, name, size, sizes, rows
+        release()
 
 
 def tag_of(text: str):
@@ -319,12 +354,13 @@ def prepare(docs: DataFrame, key: str, text: str) -> DataFrame:
     """COLUMNS: a row for each document (u is null), and for each node that may have a partner (doc_id and more than one column of it)."""
     raw = F.col(text).cast("binary")
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    buckets = max(1, math.ceil(size / 6 / BUCKET))
-    parts = min(buckets, PARTITIONS)
+    places = max(1, math.ceil(size / 6 / PARTITION))
+    parts = min(places, PARTITIONS)
     deal = lambda df: df.repartition(parts, "bucket").sortWithinPartitions("bucket")
     kinds = "kind int, bucket bigint, block binary"
-    sent = docs.select(F.col(key).cast("bigint").alias("doc_id"), tag_of(text).alias("tag"), raw.alias("raw")).mapInArrow(_send(buckets), kinds)
-    return written(deal(deal(sent).mapInArrow(_count(buckets), kinds)).mapInArrow(_choose, COLUMNS), "ngram-sets")
+    sent = docs.select(F.col(key).cast("bigint").alias("doc_id"), tag_of(text).alias("tag"), raw.alias("raw")).mapInArrow(_send(places), kinds)
+    with batches_of(docs.sparkSession, 64):
+        return written(deal(deal(sent).mapInArrow(_count(places), kinds)).mapInArrow(_choose, COLUMNS), "ngram-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -338,10 +374,10 @@ def _compare(df: pd.DataFrame) -> pd.DataFrame:
     """Links between nodes of different components in two blocks of a cluster (or one); for each node, one link to each component.
 
     Postings of the second block's prefixes count shared prefix shingles; nodes with candidates then get exact intersections
-    from the postings of whole sets. Both are arrays of numbers: no pair is a row.
+    from the postings of whole sets. Both are arrays of numbers as long as what they count: no pair is a row.
     """
-    i, j = int(df["i"].iloc[0]), int(df["j"].iloc[0])
-    one, two = df[df["block"] == i].reset_index(drop=True), df[df["block"] == j].reset_index(drop=True)
+    band, i, j, over = (int(df[c].iloc[0]) for c in ("low", "i", "j", "over"))
+    one, two = df[(df["block"] == i) & (df["band"] == band)].reset_index(drop=True), df[(df["block"] == j) & (df["band"] == band + over)].reset_index(drop=True)
     out: list[tuple[int, int]] = []
 
     def postings(column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -351,21 +387,22 @@ def _compare(df: pd.DataFrame) -> pd.DataFrame:
         keys, first = np.unique(tok[order], return_index=True)
         return keys, np.append(first, len(tok)), of[order]
 
-    def shared(x: np.ndarray, keys: np.ndarray, first: np.ndarray, of: np.ndarray) -> np.ndarray:
+    def shared(x: np.ndarray, keys: np.ndarray, first: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
         at = at[keys[at] == x]
         parts = [of[a:b] for a, b in zip(first[at].tolist(), first[at + 1].tolist(), strict=True)]
-        return np.bincount(np.concatenate(parts), minlength=len(two)) if parts else np.zeros(len(two), np.int64)
+        return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     if len(one) and len(two):
         by_prefix, by_all = postings("prefix"), postings("shingles")
         names, comps, sizes, ls = (two[c].to_numpy() for c in ("node", "comp", "n", "l"))
         for node, comp, n, own_l, prefix, shingles in zip(*(one[c].tolist() for c in ("node", "comp", "n", "l", "prefix", "shingles")), strict=True):
-            near = (comps != comp) & (np.minimum(sizes, n) * UNDER >= np.maximum(sizes, n) * OVER)
-            near &= shared(np.asarray(prefix), *by_prefix) >= np.minimum(ls, own_l)
-            if near.any():
-                both = shared(np.asarray(shingles), *by_all)
-                hit = np.flatnonzero(near & (both * UNDER >= (sizes + n - both) * OVER))
+            near, k = shared(np.asarray(prefix), *by_prefix)
+            near = near[(k >= np.minimum(ls[near], own_l)) & (comps[near] != comp) & (np.minimum(sizes[near], n) * UNDER >= np.maximum(sizes[near], n) * OVER)]
+            if len(near):
+                met, both = shared(np.asarray(shingles), *by_all)
+                at = np.searchsorted(met, near)  # what shares prefix shingles is among those
+                hit = near[both[at] * UNDER >= (sizes[near] + n - both[at]) * OVER]
                 _, first = np.unique(comps[hit], return_index=True)
                 out += [(node, int(names[h])) for h in hit[first]]
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
@@ -374,18 +411,29 @@ def _compare(df: pd.DataFrame) -> pd.DataFrame:
 def _dense(here: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between components among nodes that share a frequent prefix shingle.
 
-    Such nodes form clusters (components over those shingles). A cluster is dealt into blocks of about WEIGHT shingles, and
-    each pair of blocks is one group: bounded, however large the cluster is.
+    Such nodes form clusters (components over those shingles). Nodes that link have sizes that differ by a third at most, so a
+    cluster is cut into bands of sizes that grow by a third, and only a band and the next are compared. A band is dealt into
+    blocks of about WEIGHT shingles (a node counts for NODE_WEIGHT more), and each pair of blocks is one group: bounded, however large the cluster is.
     """
     spots = written(here.select(F.col("s"), "node", "comp", "n", "l").distinct(), "ngram-dense")
     # a shingle stands for the least of its nodes, so that edges are of nodes
     least = spots.groupBy("s").agg(F.min("node").alias("b"))
     of = written(components(spots.join(least, "s").select(F.col("node").alias("a"), "b")), "ngram-clusters")
-    members = sets.join(spots.select("node", "comp").distinct(), "node").join(of.withColumnRenamed("comp", "cluster"), "node")
-    weight = members.groupBy("cluster").agg(F.ceil(F.sum(F.size("shingles")) / WEIGHT).cast("int").alias("blocks"), F.count_distinct("comp").alias("comps")).filter("comps > 1").drop("comps")
-    dealt = members.join(weight, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    pairs = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "comp", "n", "l", "prefix", "shingles")
-    return pairs.groupBy("cluster", "i", "j").applyInPandas(_compare, "a bigint, b bigint")
+    kept = spots.select("node", "comp").distinct().join(of.withColumnRenamed("comp", "cluster"), "node")
+    band = F.floor(F.log(F.col("n")) / math.log(UNDER / OVER)).cast("int")
+    members = written(sets.join(kept, "node").withColumn("band", band), "ngram-members")
+    weight = members.groupBy("cluster", "band").agg(F.ceil(F.sum(F.size("shingles") + NODE_WEIGHT) / WEIGHT).cast("int").alias("blocks"))
+    weight = written(weight, "ngram-weights")
+    beside = lambda d, name: weight.select("cluster", (F.col("band") + d).alias("band"), F.col("blocks").alias(name))
+    weight = written(weight.join(beside(-1, "above"), ["cluster", "band"], "left").join(beside(1, "below"), ["cluster", "band"], "left"), "ngram-weights")
+    dealt = members.join(weight, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    each = lambda n: F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(0)) - 1)
+    some = lambda n, f: F.when(F.col(n) > 0, F.transform(each(n), f)).otherwise(F.array().cast("array<struct<low:int,i:int,j:int,over:int>>"))
+    group = lambda low, i, j, over: F.struct(low.cast("int").alias("low"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(over).alias("over"))
+    here, block = F.col("band"), F.col("block")
+    groups = F.concat(some("blocks", lambda o: group(here, F.least(block, o), F.greatest(block, o), 0)), some("above", lambda o: group(here, block, o, 1)), some("below", lambda o: group(here - 1, o, block, 1)))
+    pairs = dealt.withColumn("g", F.explode(groups)).select("cluster", "g.*", "band", "block", "node", "comp", "n", "l", "prefix", "shingles")
+    return pairs.groupBy("cluster", "low", "i", "j", "over").applyInPandas(_compare, "a bigint, b bigint")
 
 
 def _star(posts: DataFrame) -> DataFrame:
@@ -425,7 +473,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     name = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.col("tag").alias("t"))  # rows without a number come last
     least = rows.filter("n > 0").groupBy("node").agg(F.min(name).alias("least"))
     named = least.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    first = named.groupBy("comp").agg(F.min("least").alias("first"))
+    named = written(named, "ngram-named")
+    first = written(named.groupBy("comp").agg(F.min("least").alias("first")), "ngram-first")  # a table of its own: Spark can split a large component in the join
     of = named.select("node", "comp").join(first, "comp").select(F.col("node").alias("of"), "first")
     out = rows.join(of, (F.col("node") == F.col("of")) & (F.col("n") > 0), "left")
     component = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.nullif(F.col("first.d"), F.lit(NO_ID)))

@@ -57,3 +57,29 @@ def same(rows, want) -> None:
     a, b = canonical([r.asDict() if hasattr(r, "asDict") else r for r in rows]), canonical(want)
     assert len(a) == len(b)
     assert a == b
+
+
+def linked(rows) -> list[dict]:
+    """The n-gram join by its definition: every pair of rows (doc_id, text) compared."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({b" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or ({b" ".join(w)} if w else set()))
+    root = list(range(len(rows)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    least: dict = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return [{"doc_id": d, "n_shingles": len(s), "component_id": least.get(find(i)) if s else d} for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))]
