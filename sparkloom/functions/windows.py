@@ -53,8 +53,13 @@ def call(name: str, args: list[Arg], distinct: bool, keys: str, ordered: bool, f
         return f"({x} - LAG({x}) {plain})", "float"
     if name == "rate":
         x = double(args[0])
-        t = f"({micros(args[1])} / 1000000D)" if args[1].type in ("time", "string") else double(args[1])
-        dx, dt = f"({x} - LAG({x}) {plain})", f"({t} - LAG({t}) {plain})"
+        dx = f"({x} - LAG({x}) {plain})"
+        if args[1].type in ("time", "string", "int"):  # whole numbers are subtracted as such: a double of microseconds since 1970 is exact to 0.24 of one only
+            t, unit = (f"CAST({args[1].sql} AS DECIMAL(20, 0))", "1D") if args[1].type == "int" else (micros(args[1]), "1000000D")
+            dt = f"(CAST({t} - LAG({t}) {plain} AS DOUBLE) / {unit})"
+        else:
+            t = double(args[1])
+            dt = f"({t} - LAG({t}) {plain})"
         return f"CASE WHEN {dt} > 0 THEN CASE WHEN {dx} < 0 THEN {x} ELSE {dx} END / {dt} END", "float"
     if name in aggregates.AGGREGATES:
         sql, kind = aggregates.call(name, args, over=True)

@@ -132,6 +132,12 @@ def test_rate_takes_a_drop_for_a_restart(engine, spark):
     assert ordered(engine, "SELECT RATE(v, t) OVER (ORDER BY t) AS r FROM c ORDER BY t") == [(None,), (3.0,), (3.0,)]
 
 
+def test_rate_over_short_steps_is_exact(engine, spark):
+    at = [dt.datetime(2024, 1, 5, 7, 12, 9, 903), dt.datetime(2024, 1, 5, 7, 12, 9, 904), dt.datetime(2024, 1, 5, 7, 12, 9, 911)]
+    engine.register("c", spark.createDataFrame([(t, (1 << 60) + i, x) for i, (t, x) in enumerate(zip(at, (0.0, 1.0, 8.0), strict=True))], "ts timestamp_ntz, n bigint, v double"))
+    assert ordered(engine, "SELECT RATE(v, ts) OVER (ORDER BY ts) AS r, RATE(v, n) OVER (ORDER BY ts) AS s FROM c ORDER BY ts") == [(None, None), (1e6, 1.0), (1e6, 7.0)]
+
+
 @pytest.mark.parametrize("on, kind, expected", [("e.ts >= r.ts2", "", [(7, 30, 1), (7, 90, 3)]), ("e.ts >= r.ts2", "LEFT", [(7, 30, 1), (7, 90, 3), (8, 90, None)]), ("r.ts2 <= e.ts", "", [(7, 30, 1), (7, 90, 3)]), ("e.ts <= r.ts2", "", [(7, 30, 3), (8, 90, 5)])])
 def test_asof(engine, spark, on, kind, expected):
     engine.register("e", spark.createDataFrame([(7, 90), (7, 30), (8, 90)], "k bigint, ts bigint"))
