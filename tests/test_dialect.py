@@ -1,6 +1,9 @@
 """Parsing, and the fixtures' expected rows."""
 
 import datetime as dt
+import math
+import random
+import re
 
 import pytest
 
@@ -182,6 +185,47 @@ def test_frames(engine, spark):
     assert [r[0] for r in ordered(engine, "SELECT SUM(v) OVER (ORDER BY ts RANGE BETWEEN INTERVAL '7 days' PRECEDING AND CURRENT ROW) s FROM d ORDER BY ts")] == [10, 30, 60, 100, 140]
 
 
+@pytest.mark.parametrize("size", [("3 PRECEDING", "CURRENT ROW"), ("CURRENT ROW", "2 FOLLOWING"), ("4 PRECEDING", "1 PRECEDING"), ("1 FOLLOWING", "5 FOLLOWING"), ("1 PRECEDING", "1 FOLLOWING"), ("1000 PRECEDING", "CURRENT ROW"), ("1 PRECEDING", "CURRENT ROW")])
+@pytest.mark.parametrize("down", ["", " DESC"])
+def test_frames_of_a_length_by_definition(engine, spark, size, down):
+    rng = random.Random(5)
+    data = [(i, rng.choice([None, "a", "b"]), rng.choice([None, *range(-12, 13)]), rng.choice([None, 1e20, 0.25, 1.5, -3.0]) if i % 7 else 2.0) for i in range(120)]
+    engine.register("t", spark.createDataFrame(data, "id bigint, k string, n bigint, v double"))
+    start = dt.datetime(2024, 3, 9)
+    engine.register("h", spark.createDataFrame([(i, k, None if n is None else start + dt.timedelta(hours=n), v) for i, k, n, v in data], "id bigint, k string, n timestamp_ntz, v double"))
+    reach = [0 if x == "CURRENT ROW" else int(x.split()[0]) * (-1 if "PRECEDING" in x else 1) for x in size]
+
+    def frame(row):
+        for _, k, n, v in data:
+            if k == row[1] and (n is None) == (row[2] is None) and (n is None or reach[0] <= (row[2] - n if down else n - row[2]) <= reach[1]):
+                yield v
+
+    want = []
+    for row in data:
+        every = list(frame(row))
+        vs = [v for v in every if v is not None]
+        want.append((row[0], math.fsum(vs) if vs else None, len(vs), len(every), math.fsum(vs) / len(vs) if vs else None, min(vs, default=None), max(vs, default=None)))
+    for table, bounds in (("t", size), ("h", [x if x == "CURRENT ROW" else f"INTERVAL '{x.split()[0]} hours' {x.split()[1]}" for x in size])):
+        over = f"OVER (PARTITION BY k ORDER BY n{down} RANGE BETWEEN {bounds[0]} AND {bounds[1]})"
+        df = engine.query(f"SELECT id, SUM(v) {over} AS s, COUNT(v) {over} AS c, COUNT(*) {over} AS rows, AVG(v) {over} AS a, MIN(v) {over} AS low, MAX(v) {over} AS high FROM {table} WHERE id >= 0 ORDER BY id")
+        assert [tuple(r) for r in df.collect()] == [tuple(x if x is None else pytest.approx(x, rel=1e-12) for x in r) for r in want]
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert set(re.findall(r"specifiedwindowframe\(RangeFrame, ([^,]*),", plan)) == {"unboundedpreceding$()"}  # no row adds up its own frame anew
+
+
+def test_frames_of_a_length_in_any_place(engine, spark):
+    engine.register("t", spark.createDataFrame([(1, "x", 10.0), (2, "y", 20.0), (2, "x", 5.0), (9, "y", 30.0)], "t bigint, g string, v double"))
+    engine.register("u", spark.createDataFrame([("x", 1), ("y", 2)], "g string, w bigint"))
+    over = "OVER (ORDER BY t.t RANGE BETWEEN 1 PRECEDING AND CURRENT ROW)"
+    assert rows(engine, f"SELECT t.g, u.w, SUM(t.v) {over} / 2 + MAX(u.w) OVER (PARTITION BY t.g ORDER BY t.t RANGE BETWEEN 7 PRECEDING AND CURRENT ROW) AS z, ROW_NUMBER() OVER (ORDER BY t.t, t.v) AS n FROM t JOIN u ON t.g = u.g WHERE u.w < 9") == [("x", 1, 18.5, 2), ("x", 1, 6.0, 1), ("y", 2, 17.0, 4), ("y", 2, 19.5, 3)]
+    assert rows(engine, f"WITH c AS (SELECT t.g AS g, SUM(v) {over} AS s FROM t) SELECT DISTINCT s FROM (SELECT * FROM c) AS d WHERE s > 10") == [(30.0,), (35.0,)]
+    assert ordered(engine, f"SELECT v FROM t ORDER BY SUM(v) {over} DESC, v LIMIT 2") == [(5.0,), (20.0,)]
+    edges = [-(1 << 63), -(1 << 63) + 1, (1 << 63) - 2, (1 << 63) - 1]
+    engine.register("e", spark.createDataFrame([(x,) for x in edges], "n bigint"))
+    for size, want in ((1, [1, 2, 1, 2]), (3, [1, 2, 1, 2])):
+        assert [r[1] for r in ordered(engine, f"SELECT n, COUNT(*) OVER (ORDER BY n RANGE BETWEEN {size} PRECEDING AND CURRENT ROW) AS c FROM e ORDER BY n")] == want
+
+
 @pytest.mark.parametrize(
     "expression, value",
     [
