@@ -28,14 +28,14 @@ is linear in a page's length, and no depth is too deep.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Generator, Iterable, Iterator
 from hashlib import blake2b
 from html import unescape
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -46,8 +46,8 @@ LEAST, RARE, SURE = 3, 100, 4
 CELLS, ALIKE = 4_000_000, 0.5
 #: Pages of a host that may meet in one task, where the join shuffles.
 SLICE = 1_000_000
-#: Pairs of kinds of children that are matched by their own subtrees; beyond, they match by name alone.
-KINDS = 4_000
+#: Weights that are kept from one matching to the next, and within one.
+KEPT, MEMO = 200_000, 1_000_000
 #: Fixed values of HTML: elements without an end, with raw text, that stand as blocks, and that end an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp".split())
@@ -273,55 +273,68 @@ class Tree:
         return out
 
 
+Steps = Generator[tuple[int, int], int | None, object]
+
+
 class Matching:
     """Simple tree matching: the largest order-preserving matching of two trees whose matched nodes have matched parents."""
 
     def __init__(self) -> None:
         self.memo: dict[tuple[int, int], int] = {}  # by kinds, so pages of one layout share it
 
-    def weight(self, a: Tree, i: int, b: Tree, j: int) -> int:
-        if a.name[i] != b.name[j]:
+    def _known(self, a: Tree, x: int, b: Tree, y: int) -> int | None:
+        """The weight of two nodes, unless their children have to be matched for it."""
+        if a.name[x] != b.name[y]:
             return 0
-        stack = [(i, j)]
+        if a.kind[x] == b.kind[y]:
+            return a.size[x]
+        return self.memo.get((a.kind[x], b.kind[y])) if a.kids[x] and b.kids[y] else 1
+
+    def _solve(self, a: Tree, x: int, b: Tree, y: int) -> Steps:
+        return 1 + int(self._last((yield from self._weights(a, a.kids[x], b, b.kids[y], False)))[-1])
+
+    def weight(self, a: Tree, i: int, b: Tree, j: int) -> int:
+        if (got := self._known(a, i, b, j)) is not None:
+            return got
+        stack = [(i, j, self._solve(a, i, b, j))]
         while stack:
-            x, y = stack[-1]
-            key = (a.kind[x], b.kind[y])
-            if key in self.memo:
+            x, y, steps = stack[-1]
+            try:
+                p, q = steps.send(got)
+            except StopIteration as end:
+                got = end.value
                 stack.pop()
-            elif key[0] == key[1]:
-                self.memo[key] = a.size[x]
-            elif not a.kids[x] or not b.kids[y]:
-                self.memo[key] = 1
-            elif missing := self._missing(a, x, b, y):
-                stack += missing
+                if len(self.memo) >= MEMO:  # it only saves work: what a step waits for is handed to it
+                    self.memo.clear()
+                self.memo[(a.kind[x], b.kind[y])] = got
             else:
-                self.memo[key] = 1 + int(self._last(self._table(a, a.kids[x], b, b.kids[y], False))[-1])
-        return self.memo[(a.kind[i], b.kind[j])]
+                got = None
+                stack.append((p, q, self._solve(a, p, b, q)))
+        return got
 
-    def _kinds(self, a: Tree, xs: list[int], b: Tree, ys: list[int]) -> tuple[dict[int, int], dict[int, int]]:
-        return {a.kind[x]: x for x in xs}, {b.kind[y]: y for y in ys}
-
-    def _missing(self, a: Tree, x: int, b: Tree, y: int) -> list[tuple[int, int]]:
-        own, other = self._kinds(a, a.kids[x], b, b.kids[y])
-        if len(own) * len(other) > KINDS:
-            return []
-        return [(p, q) for p in own.values() for q in other.values() if a.name[p] == b.name[q] and (a.kind[p], b.kind[q]) not in self.memo]
-
-    def _table(self, a: Tree, xs: list[int], b: Tree, ys: list[int], texts: bool) -> tuple[np.ndarray, list[int], np.ndarray, np.ndarray | None, np.ndarray | None]:
-        """Weights by kinds; the kind of each of xs and ys; and their texts, where equal ones decide between equal weights."""
-        own, other = self._kinds(a, xs, b, ys)
-        plain = len(own) * len(other) > KINDS
+    def _weights(self, a: Tree, xs: list[int], b: Tree, ys: list[int], texts: bool) -> Steps:
+        """Weights by kinds; the kind of each of xs and ys; and their texts, where equal ones decide between equal weights. Yields pairs of nodes and is sent their weights."""
+        own, other = {a.kind[x]: x for x in xs}, {b.kind[y]: y for y in ys}
         w = np.zeros((len(own), len(other)), np.int64)
         for r, p in enumerate(own.values()):
             for c, q in enumerate(other.values()):
-                if a.name[p] == b.name[q]:
-                    w[r, c] = (a.size[p] if a.kind[p] == b.kind[q] else 1) if plain else self.weight(a, p, b, q)
+                got = self._known(a, p, b, q)
+                w[r, c] = (yield p, q) if got is None else got
         row, col = {k: n for n, k in enumerate(own)}, {k: n for n, k in enumerate(other)}
         rows, cols = [row[a.kind[x]] for x in xs], np.array([col[b.kind[y]] for y in ys])
         if not texts:
             return w, rows, cols, None, None
         return w * (min(len(xs), len(ys)) + 1), rows, cols, np.array([a.text[x] for x in xs], np.uint64), np.array([b.text[y] for y in ys], np.uint64)
 
+    def _table(self, a: Tree, xs: list[int], b: Tree, ys: list[int]) -> tuple[np.ndarray, list[int], np.ndarray, np.ndarray, np.ndarray]:
+        steps, got = self._weights(a, xs, b, ys, True), None
+        while True:
+            try:
+                p, q = steps.send(got)
+            except StopIteration as end:
+                return end.value
+            got = self.weight(a, p, b, q)
+
     @staticmethod
     def _rows(table: tuple, x0: int, x1: int, y0: int, y1: int, back: bool = False) -> Iterator[np.ndarray]:
         w, rows, cols, own, other = table
@@ -345,33 +358,35 @@ class Matching:
         return row
 
     def _match(self, a: Tree, xs: list[int], b: Tree, ys: list[int]) -> list[tuple[int, int]]:
-        """The matched ones of two lists of children."""
-        out, table = [], self._table(a, xs, b, ys, True)
+        """The matched ones of two lists of children: of the largest matchings the one whose partners of xs, from the last on, stand last."""
+        out, table = [], self._table(a, xs, b, ys)
+        w, kinds, cols, own, other = table
         todo = [(0, len(xs), 0, len(ys))]
         while todo:
             x0, x1, y0, y1 = todo.pop()
             if x1 == x0 or y1 == y0:
                 continue
-            if (x1 - x0) * (y1 - y0) > CELLS and x1 - x0 > 1:  # halved: the best place to cut the other list follows from both halves
+            if (x1 - x0) * (y1 - y0) > CELLS and x1 - x0 > 1:  # halved: the last of the best places to cut the other list follows from both halves
                 mid = (x0 + x1) // 2
                 for ahead in self._rows(table, x0, mid, y0, y1):  # noqa: B007
                     pass
                 for behind in self._rows(table, mid, x1, y0, y1, True):  # noqa: B007
                     pass
-                cut = y0 + int(np.argmax(ahead + behind[::-1]))
+                cut = y1 - int(np.argmax((ahead + behind[::-1])[::-1]))
                 todo += [(x0, mid, y0, cut), (mid, x1, cut, y1)]
                 continue
             rows = list(self._rows(table, x0, x1, y0, y1))
             i, j = x1 - x0, y1 - y0
             while i and j:
-                here = rows[i][j]
+                here, x, y = rows[i][j], x0 + i - 1, y0 + j - 1
+                gain = w[kinds[x], cols[y]]
                 if here == rows[i - 1][j]:
                     i -= 1
-                elif here == rows[i][j - 1]:
-                    j -= 1
-                else:
+                elif here == rows[i - 1][j - 1] + gain + (gain > 0 and own[x] == other[y]):
                     i, j = i - 1, j - 1
-                    out.append((xs[x0 + i], ys[y0 + j]))
+                    out.append((xs[x], ys[y]))
+                else:
+                    j -= 1
         return out
 
     def pairs(self, a: Tree, b: Tree) -> list[tuple[int, int]]:
@@ -387,7 +402,7 @@ class Matching:
                     stack += zip(a.kids[i], b.kids[j], strict=True) if a.kind[i] == b.kind[j] else self._match(a, a.kids[i], b, b.kids[j])
                 else:
                     stack += self._match(a, a.kids[i], b, b.kids[j])
-        if len(self.memo) > 200_000:
+        if len(self.memo) > KEPT:
             self.memo.clear()
         return out
 
@@ -425,11 +440,7 @@ def induce(pages: Iterable[str]) -> frozenset[tuple[int, int]]:
     total: dict[tuple[int, int], list[int]] = {}
     before, matching = None, Matching()
     for _, _, tree in sorted(((signed(t.outline()), signed(key), t) for key, t in trees.items()), key=lambda x: x[:2]):
-        for key, (same, other) in votes(tree, before, matching).items():
-            sums = total.setdefault(key, [0, 0, 0])
-            sums[0] += 1
-            sums[1] += same
-            sums[2] += other
+        _add(total, votes(tree, before, matching))
         before = tree
     of_host = total.get((0, 0), [0])[0]
     return frozenset((p, t) for (p, t), (n, same, other) in total.items() if t and decide(n, same, other, total[(p, 0)][0], of_host))
@@ -525,39 +536,74 @@ def _unpacked(raw: bytes) -> Tree:
     return Tree(np.frombuffer(raw, "<i4", n).tolist(), np.frombuffer(raw, "<u8", n, 4 * n).tolist(), np.frombuffer(raw, "<u8", n, 12 * n).tolist())
 
 
+VOTES = "h bigint, p bigint, b bigint, n bigint, same bigint, other bigint"
+EDGE = "outline bigint, page bigint, tree binary"
+
+
+def _add(total: dict[tuple[int, int], list[int]], found: dict[tuple[int, int], tuple[int, int]], n: int = 1) -> None:
+    for key, (same, other) in found.items():
+        sums = total.setdefault(key, [0, 0, 0])
+        sums[0] += n
+        sums[1] += same
+        sums[2] += other
+
+
+def _batch(rows: list[tuple], more: list[tuple] | None = None) -> pa.RecordBatch:
+    """Votes; and, where more is given, pages, whose rows have no votes."""
+    kinds = [pa.int64()] * 8 + [pa.binary()] if more is not None else [pa.int64()] * 6
+    names = ["h", "p", "b", "n", "same", "other", "outline", "page", "tree"][: len(kinds)]
+    every = [(*r, None, None, None) for r in rows] + [(h, *[None] * 5, *rest) for h, *rest in more] if more is not None else rows
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in every], k) for i, k in enumerate(kinds)], names=names)
+
+
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted pages, each aligned with the one before: the votes of each host, added up."""
+    """Sorted pages, each aligned with the one before: the votes of each host, added up. Then the task's first and last page, whose other neighbours are elsewhere."""
     matching, at, before = Matching(), None, None
     total: dict[tuple[int, int], list[int]] = {}
+    first = last = None
 
-    def out() -> pa.RecordBatch:
+    def out() -> list[tuple]:
         rows = [(at[0], signed(p), signed(t), *v) for (p, t), v in total.items()]
         total.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(6)], names=["h", "p", "b", "n", "same", "other"])
+        return rows
 
     for batch in batches:
-        for h, page, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        for h, outline, page, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if at == (h, page):
                 continue
             if at and (at[0] != h or len(total) > 200_000):
-                yield out()
+                yield _batch(out(), [])
             tree = _unpacked(raw)
-            for key, (same, other) in votes(tree, before if at and at[0] == h else None, matching).items():
-                sums = total.setdefault(key, [0, 0, 0])
-                sums[0] += 1
-                sums[1] += same
-                sums[2] += other
+            _add(total, votes(tree, before if at and at[0] == h else None, matching))
             at, before = (h, page), tree
+            last = (h, outline, page, raw)
+            first = first or last
     if at:
-        yield out()
+        yield _batch(out(), [first] if first == last else [first, last])
+
+
+def _bridge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First and last pages of all tasks, sorted: the votes that the first ones have by the last ones before them. They are counted already."""
+    matching, before = Matching(), None
+    for batch in batches:
+        for h, _, page, raw, opens in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            tree = _unpacked(raw)
+            if opens and before and before[0] == h and before[1] != page:
+                total: dict[tuple[int, int], list[int]] = {}
+                _add(total, {k: v for k, v in votes(tree, before[2], matching).items() if any(v)}, 0)
+                yield _batch([(h, signed(p), signed(t), *v) for (p, t), v in total.items()])
+            before = (h, page, tree)
 
 
 def counts(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """h, p, b, n, same, other: the votes on block b below path p, from all different pages of host h; with b 0, on how many the path is; with p 0 too, how many there are."""
     known = written(trees(pages, url, html), "wrapper-trees")
     order = ["h", "outline", "page"]
-    found = known.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_align, "h bigint, p bigint, b bigint, n bigint, same bigint, other bigint")
-    return found.groupBy("h", "p", "b").agg(*[F.sum(c).alias(c) for c in ("n", "same", "other")])
+    found = written(known.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_align, f"{VOTES}, {EDGE}").withColumn("task", F.spark_partition_id()), "wrapper-votes")
+    mine = F.row_number().over(Window.partitionBy("task").orderBy(*order)) == 1
+    edges = found.filter(F.col("tree").isNotNull()).select(*order, "tree", mine.alias("opens"))  # two pages a task
+    bridged = edges.repartition(1).sortWithinPartitions(*order).mapInArrow(_bridge, VOTES)
+    return found.filter(F.col("tree").isNull()).select(*bridged.columns).union(bridged).groupBy("h", "p", "b").agg(*[F.sum(c).alias(c) for c in ("n", "same", "other")])
 
 
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

@@ -99,3 +99,66 @@ def test_the_query_does_what_induce_does(spark):
     assert sum(map(bool, wrappers.values())) >= 3
     want = sorted((p, extract.extract(html, wrappers[url.split("/")[2]])) for p, url, html in rows)
     assert sorted((r["page_id"], r["text"]) for r in extract.main_text(df).collect()) == want
+
+
+def _random_tree(rng: random.Random, shapes: int) -> extract.Tree:
+    """A root with many children, most of different shapes."""
+    up, name = [-1], [1]
+    for _ in range(shapes):
+        at = [0]
+        for _ in range(rng.randint(3, 9)):
+            up.append(rng.choice(at) if len(at) > 1 else 0)
+            at.append(len(up) - 1)
+            name.append(2 if up[-1] == 0 else rng.choice((3, 4, 5)))
+    return extract.Tree(up, name, [rng.randrange(9) for _ in up])
+
+
+def test_lists_of_many_shapes_are_matched_by_what_is_below_them():
+    def largest(a: extract.Tree, i: int, b: extract.Tree, j: int) -> int:
+        if a.name[i] != b.name[j]:
+            return 0
+        row = [0] * (len(b.kids[j]) + 1)
+        for x in a.kids[i]:
+            above, row = row, [0]
+            for n, y in enumerate(b.kids[j]):
+                row.append(max(above[n + 1], row[n], above[n] + largest(a, x, b, y)))
+        return row[-1] + 1
+
+    rng = random.Random(3)
+    for _ in range(2):
+        a, b = _random_tree(rng, 110), _random_tree(rng, 120)
+        assert len({a.kind[k] for k in a.kids[0]}) * len({b.kind[k] for k in b.kids[0]}) > 4000
+        m = extract.Matching()
+        assert m.weight(a, 0, b, 0) == largest(a, 0, b, 0) == len(m.pairs(a, b))
+
+
+@pytest.mark.parametrize("memo", [1_000_000, 2])
+def test_halving_long_lists_finds_the_same_matching(monkeypatch, memo):
+    rng = random.Random(4)
+    monkeypatch.setattr(extract, "MEMO", memo, raising=False)
+    for _ in range(40):
+        a, b = _random_tree(rng, rng.randint(1, 20)), _random_tree(rng, rng.randint(1, 20))
+        want = None
+        for cells in (4_000_000, 30, 2):
+            monkeypatch.setattr(extract, "CELLS", cells)
+            got = sorted(extract.Matching().pairs(a, b))
+            want = want or got
+            assert got == want
+
+
+def test_votes_are_the_same_on_any_number_of_tasks(spark):
+    rng = random.Random(12)
+    fresh = lambda n: " ".join(f"w{rng.randrange(40)}" for _ in range(n))
+    rows = [(i, f"https://h{i % 3}.example/{i}", f"<body><div class=x><div>Top</div><p>{fresh(1)}</p>{f'<ul><li>{fresh(1)}</ul>' * (i % 4)}<p>End</p></div></body>") for i in range(150)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    found = []
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for n in (1, 5, 60):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted(map(tuple, extract.counts(df).collect())))
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert found[0] == found[1] == found[2]
