@@ -46,6 +46,8 @@ LEAST, RARE, SURE = 3, 100, 4
 CELLS, ALIKE = 4_000_000, 0.5
 #: Pages of a host that may meet in one task, where the join shuffles.
 SLICE = 1_000_000
+#: Cells up to which a table is faster without arrays.
+SHORT = 200
 #: Weights that are kept from one matching to the next, and within one.
 KEPT, MEMO = 200_000, 1_000_000
 #: Fixed values of HTML: elements without an end, with raw text, that stand as blocks, and that end an open paragraph.
@@ -291,7 +293,17 @@ class Matching:
         return self.memo.get((a.kind[x], b.kind[y])) if a.kids[x] and b.kids[y] else 1
 
     def _solve(self, a: Tree, x: int, b: Tree, y: int) -> Steps:
-        return 1 + int(self._last((yield from self._weights(a, a.kids[x], b, b.kids[y], False)))[-1])
+        xs, ys = a.kids[x], b.kids[y]
+        if len(xs) * len(ys) > SHORT:
+            return 1 + int(self._last((yield from self._weights(a, xs, b, ys, False)))[-1])
+        row = [0] * (len(ys) + 1)  # the same without arrays
+        for p in xs:
+            above, row, best = row, [0], 0
+            for n, q in enumerate(ys):
+                got = self._known(a, p, b, q)
+                best = max(best, above[n + 1], above[n] + ((yield p, q) if got is None else got))
+                row.append(best)
+        return 1 + row[-1]
 
     def weight(self, a: Tree, i: int, b: Tree, j: int) -> int:
         if (got := self._known(a, i, b, j)) is not None:
